@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import quality
+from tracewell.llm import line_dedup, packing, pii, quality, simhash, substring, tokens
 
-_MODULES = (quality,)
+_MODULES = (quality, tokens, simhash, pii, substring, packing, line_dedup)
 
 
 def queries() -> dict:

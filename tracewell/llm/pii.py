@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is trained on, at most.
@@ -309,9 +310,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", sample_docs: int
                 said = [pa.array([_said(b) for b in bases]), pa.array([_said(b + m) for b, m in zip(bases, more, strict=True)])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *counts, *said], [*names, *results])
 
-    schema = docs.schema
-    for name in results:
-        schema = schema.add(name, "long" if name.startswith("n_") else "string")
+    added = [T.StructField(name, T.LongType() if name.startswith("n_") else T.StringType()) for name in results]
+    schema = T.StructType([*docs.schema.fields, *added])
     return docs.mapInArrow(search, schema)
 
 

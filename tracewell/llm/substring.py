@@ -41,8 +41,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, GRAM = 20, 8
-#: Ranges that one partition works through one after the other.
-RANGES = 8
+#: Ranges that one partition works through one after the other: more hold fewer
+#: rows in memory at once, and send more bodies.
+RANGES = 1
 #: Rows that a task looks over at once.
 BUFFER_ROWS = 400_000
 CACHE_WORDS = 400_000
@@ -224,6 +225,24 @@ def _later_windows(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [doc[again], piece[again], pos[again], doc[first][again], pos[first][again]]
 
 
+def _texts(batches: Iterator[pa.RecordBatch], types: str) -> Iterator[tuple[int, int, bytes, list[np.ndarray] | None]]:
+    """Each text with its id and piece and the places known of it.
+
+    Places come before the texts of their range, which stream.
+    """
+    sub, bodies, places = None, [], None
+    for batch in batches:
+        for _, at, kind, doc, piece, body in zip(*(batch.column(n).to_pylist() for n in _NAMES), strict=True):
+            if at != sub:
+                sub, bodies, places = at, [], None
+            if kind == 1:
+                bodies.append(body)
+                continue
+            if places is None:
+                places, bodies = _Places(bodies, types), []
+            yield doc, piece, zstandard.decompress(body), places(doc, piece)
+
+
 class _Places:
     """Rows about places, grouped by document and piece."""
 
@@ -300,37 +319,31 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, buffer = Words(), _Buffer(parts, _settle_windows)
-        for rows in _by_range(batches):
-            places = _Places([r[5] for r in rows if r[2] == 1], "i8 i8 i4")
-            for _, _, kind, doc, piece, body in rows:
-                if kind == 2 and (at := places(doc, piece)) is not None:
-                    hashes = words.hashes(zstandard.decompress(body).split())
-                    _, best = anchors(hashes, width, gram)
-                    shared = np.zeros(len(hashes), bool)
-                    shared[at[0]] = True
-                    starts = np.flatnonzero(shared[best])
-                    yield from buffer.add(Words.windows(hashes, width)[starts], doc, piece, starts)
+        for doc, piece, text, at in _texts(batches, "i8 i8 i4"):
+            if at is not None:
+                hashes = words.hashes(text.split())
+                _, best = anchors(hashes, width, gram)
+                shared = np.zeros(len(hashes), bool)
+                shared[at[0]] = True
+                starts = np.flatnonzero(shared[best])
+                yield from buffer.add(Words.windows(hashes, width)[starts], doc, piece, starts)
         yield buffer.flush()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_range(batches):
-            places = _Places([r[5] for r in rows if r[2] == 1], "i8 i8 i4 i8 i4")
-            out = []
-            for _, _, kind, doc, piece, body in rows:
-                if kind != 2:
-                    continue
-                split = zstandard.decompress(body).split()
-                parsed = factors(places(doc, piece), width)
-                change = np.zeros(len(split) + 1, np.int64)
-                for f in parsed:
-                    change[f["start"]] += 1
-                    change[f["start"] + f["length"]] -= 1
-                kept = np.cumsum(change[:-1]) == 0
-                out.append((doc, len(split), int(len(split) - kept.sum()), parsed, b" ".join(compress(split, kept.tolist())).decode()))
-                if len(out) >= 2000:
-                    yield _parsed(out)
-                    out = []
-            yield _parsed(out)
+        out = []
+        for doc, piece, text, at in _texts(batches, "i8 i8 i4 i8 i4"):
+            split = text.split()
+            parsed = factors(at, width)
+            change = np.zeros(len(split) + 1, np.int64)
+            for f in parsed:
+                change[f["start"]] += 1
+                change[f["start"] + f["length"]] -= 1
+            kept = np.cumsum(change[:-1]) == 0
+            out.append((doc, len(split), int(len(split) - kept.sum()), parsed, b" ".join(compress(split, kept.tolist())).decode()))
+            if len(out) >= 2000:
+                yield _parsed(out)
+                out = []
+        yield _parsed(out)
 
     zipped_texts = texts.mapInArrow(zipped, _SCHEMA)
     shared = dealt(texts.mapInArrow(find_anchors, _SCHEMA)).mapInArrow(_looked_up(parts, "u8 i8 i8 i4 i1", _shared_anchors), _SCHEMA)

@@ -83,14 +83,16 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, n: total + n,
     )
-    return repeats.select(
-        *own,
+    measures = F.struct(
         F.size("_tw_words").cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_tw_lines") - F.size(F.array_distinct("_tw_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # a generator of one row: filters on the measures stay above it, so that
+    # the optimizer doesn't copy their expressions into each other
+    return repeats.select(*own, F.inline(F.array(measures)))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:

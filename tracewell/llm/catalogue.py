@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import line_dedup, mixing, packing, pii, preference, quality, simhash, substring, tokens
+from tracewell.llm import line_dedup, mixing, neighbours, packing, pii, preference, quality, simhash, substring, tokens
 
-_MODULES = (quality, tokens, simhash, pii, substring, packing, mixing, line_dedup, preference)
+_MODULES = (quality, tokens, simhash, pii, substring, packing, mixing, line_dedup, preference, neighbours)
 
 
 def queries() -> dict:

@@ -1,9 +1,35 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""From raw documents to packed training sequences.
 
-STAGES: list = []
+Each stage is written as Parquet and read again as the next one's documents, so
+a lost executor never costs an earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewell.llm import line_dedup, mixing, packing, quality, simhash
+from tracewell.llm.workspace import Workspace
+
+#: Name and function of (spark, docs, sf_dir); all but the last return the columns of documents.
+STAGES = [
+    ("quality rules", quality.stage),
+    ("line dedup", line_dedup.stage),
+    ("near-duplicates", simhash.stage),
+    ("source mixing", mixing.stage),
+    ("best-fit packing", packing.stage),
+]
+
+#: Tokens and fingerprints can't be computed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages applied to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the documents of ``sf_dir``."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.save(docs, f"stage-{k}")
+    return docs

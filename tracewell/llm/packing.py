@@ -28,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.pieces import TokenIds
+from tracewell.llm.pieces import TokenIds, by_size
 from tracewell.llm.workspace import Workspace
 
 CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,20 +43,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TokenIds(tokenizer)
         for batch in batches:
-            owner, nth, start, length, crc = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + END
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    owner.append(doc)
-                    nth.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owner, pa.int64()), pa.array(nth, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            docs_of = iter(batch.column(0).to_pylist())
+            for group in by_size(t.as_py() or "" for t in batch.column(1)):
+                rows = []
+                for doc, ids in zip(docs_of, ids_of(group)):  # noqa: B905
+                    ids += END
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces that a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 #: Characters of text that are cut and encoded together.
 BATCH_CHARS = 4_000_000
 #: A longer text is cut at safe places before its pieces are listed.
@@ -105,10 +105,19 @@ class TokenCounter:
             yield (i, "", pieces) if cut else (i, pieces[0], pieces[1:])
 
 
-class TokenIds:
-    """Token ids of a vocabulary whose tokens hold no white space.
+#: Between a letter and the full stop or comma that ends its piece.
+_ENDING = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+
 
-    A text is cut at ASCII white space; ids are little-endian unsigned 32-bit.
+class TokenIds:
+    """Token ids of a lower-case vocabulary whose tokens hold no white space and
+    never both letters and punctuation.
+
+    A text is cut at ASCII white space, and before a full stop or comma that
+    ends a word.  ASCII text is lowered first, which its tokenizer does too;
+    other text may hold capitals that compose with the mark after them, and
+    special strings are case-sensitive, so those texts are left to it.  Ids are
+    little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -117,19 +126,26 @@ class TokenIds:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, pieces: set[bytes]) -> None:
+        if len(self.known) > self.limit:
+            self.known.clear()
         fresh = list(pieces.difference(self.known))
         for start in range(0, len(fresh), 50_000):
             group = fresh[start : start + 50_000]
             coded = self.encode([x.decode() for x in group], add_special_tokens=False)
             self.known.update(zip(group, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of one text as bytes."""
-        found = []
-        for part in chunks(text):
-            pieces = part.encode().split()
-            if len(self.known) > self.limit:
-                self.known.clear()
-            self._learn(set(pieces))
-            found.append(b"".join(map(self.known.__getitem__, pieces)))
-        return b"".join(found)
+    @staticmethod
+    def _cut(text: str) -> list[bytes]:
+        data = text.encode()
+        if text.isascii() and "<|" not in text:
+            data = data.lower()
+        return _ENDING.sub(rb" \1", data).split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        parts = [(i, self._cut(part)) for i, text in enumerate(texts) for part in chunks(text)]
+        self._learn(set().union(*(pieces for _, pieces in parts)))
+        found = [b""] * len(texts)
+        for i, pieces in parts:
+            found[i] += b"".join(map(self.known.__getitem__, pieces))
+        return found

@@ -286,7 +286,7 @@ s AS (SELECT user_id, array_to_string(list('a' || k ORDER BY first), ',') AS ato
 SELECT e.user_id AS session_id, max(k) AS turn, bool_or(k > 97) AS unredacted, arg_min(CASE WHEN k % 6 = 0 THEN 'src' || k END, event_id) FILTER (k % 6 = 0) AS exposure,
   CASE WHEN count(*) FILTER (k % 4 = 0) > 0 THEN CASE WHEN count(*) FILTER (k % 8 = 0) = 0 THEN 'create,read,exec' WHEN arg_min(k, event_id) FILTER (k % 4 = 0) % 8 = 0 THEN 'read,create' ELSE 'create,read' END END AS directive,
   any_value(s.atoms) AS user_atoms FROM e JOIN s ON s.user_id = e.user_id GROUP BY 1""",
-    "ttl_sweep": "WITH l AS (SELECT user_id AS session_id, max(ts) AS t FROM events GROUP BY 1) SELECT session_id, epoch(t)::BIGINT AS last_s FROM l WHERE floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(t)) >= 3600 AND session_id <> 7",
+    "ttl_sweep": "WITH l AS (SELECT user_id AS session_id, max(ts) AS t FROM events GROUP BY 1) SELECT session_id, floor(epoch(t))::BIGINT AS last_s FROM l WHERE floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(t)) >= 3600 AND session_id <> 7",
     "gate_decisions": f"""WITH {_GATE_SQL} SELECT event_id, x.d AS decision, x.r AS reason, CASE WHEN x.d = 'allow' THEN NULL WHEN contains(x.r, 'provenance is full') THEN 'saturation' WHEN contains(x.r, 'hidden layer') THEN 'unredacted-mark'
   WHEN contains(x.r, 'read untrusted content') THEN 'exposure' WHEN contains(x.r, 'self-protection') THEN 'self-protection' WHEN contains(x.r, 'outside the certificate''s boundaries') THEN 'certificate-bounds'
   WHEN contains(x.r, 'outside the certificate') OR contains(x.r, 'not declared in the policy') THEN 'certificate' WHEN contains(x.r, 'quarantine') OR contains(x.r, 'untrusted') THEN 'provenance' ELSE 'other' END AS mechanism FROM d""",

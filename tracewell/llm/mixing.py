@@ -18,7 +18,7 @@ no source is ordered as a whole in one task, only its blocks.
 Tokens of a document are its words and one for its end.
 
 Defined results: a null text has no words; a null source is a source of its
-own; every row counts, repeated ones too; an empty table gives an empty table;
+own; every row counts, repeated ones too, and those are taken together; an empty table gives an empty table;
 columns named like a result are replaced.
 """
 
@@ -111,7 +111,8 @@ def mixture(
     blocks = work.save(blocks.filter(F.col("_tw_before") < F.col("_tw_rest")), "blocks")
     crossing = broadcast_if_small(work.save(blocks.filter("NOT _tw_whole").drop("_tw_whole"), "crossing"), "4", 16)
     dealt = narrow.join(planned.select("_tw_source", "_tw_blocks"), "_tw_source").withColumn("_tw_block", block)
-    inside = Window.partitionBy("_tw_source", "_tw_block").orderBy("_tw_order", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    # rows alike in id and tokens are taken together or not at all
+    inside = Window.partitionBy("_tw_source", "_tw_block").orderBy("_tw_order", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # the last document taken from each crossing block: a row for each source at most
     edge = (
         dealt.join(crossing, ["_tw_source", "_tw_block"])
@@ -160,7 +161,7 @@ q AS (SELECT *, target_tokens // tokens AS passes, target_tokens % tokens AS res
 b AS (SELECT d.*, target_tokens, passes, rest, floor(('0x' || substr(o, 1, 8))::BIGINT * blocks / 4294967296)::BIGINT AS block FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 g AS (SELECT source, block, sum(n_tokens) AS t FROM b GROUP BY 1, 2),
 h AS (SELECT source, block, coalesce(sum(t) OVER (PARTITION BY source ORDER BY md5(block::VARCHAR), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
-c AS (SELECT b.*, before + sum(n_tokens) OVER (PARTITION BY b.source, b.block ORDER BY o, n_tokens ROWS UNBOUNDED PRECEDING) AS past FROM b JOIN h ON b.block = h.block AND b.source IS NOT DISTINCT FROM h.source)
+c AS (SELECT b.*, before + sum(n_tokens) OVER (PARTITION BY b.source, b.block ORDER BY o, n_tokens RANGE UNBOUNDED PRECEDING) AS past FROM b JOIN h ON b.block = h.block AND b.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, target_tokens, (passes + CASE WHEN past <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
 """
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import cleaning, decisions, provenance
+from tracewell.plans import cleaning, decisions, provenance, streams
 
-_MODULES = (provenance, cleaning, decisions)
+_MODULES = (provenance, cleaning, decisions, streams)
 
 
 def queries() -> dict:

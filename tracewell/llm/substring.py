@@ -45,8 +45,10 @@ WIDTH, GRAM = 20, 8
 #: rows in memory at once, and send more bodies.
 RANGES = 1
 #: Rows that a task looks over at once.
-BUFFER_ROWS = 400_000
-CACHE_WORDS = 400_000
+BUFFER_ROWS = 300_000
+CACHE_WORDS = 300_000
+#: Text and factors of a batch of results.
+BATCH_BYTES = 4_000_000
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -262,10 +264,11 @@ class _Places:
         return self.of.get((doc, piece))
 
 
-def factors(places: list[np.ndarray] | None, width: int) -> list[dict]:
-    """The greedy parse of one document from its looked-up windows."""
+def factors(places: list[np.ndarray] | None, width: int) -> list[np.ndarray]:
+    """The greedy parse of one document from its looked-up windows: start,
+    length, ref_doc and ref_start of each factor."""
     if places is None:
-        return []
+        return [np.empty(0, t) for t in (np.int32, np.int32, np.int64, np.int32)]
     pos, ref_doc, ref_pos = places
     fresh = np.ones(len(pos), bool)
     fresh[1:] = pos[1:] != pos[:-1]
@@ -274,10 +277,7 @@ def factors(places: list[np.ndarray] | None, width: int) -> list[dict]:
     cut[1:] = (np.diff(pos) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_pos) != 1)
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, len(pos))) + width - 1
-    return [
-        {"start": int(s), "length": int(n), "ref_doc": int(d), "ref_start": int(p)}
-        for s, n, d, p in zip(pos[starts], lengths, ref_doc[starts], ref_pos[starts], strict=True)
-    ]
+    return [pos[starts], lengths.astype(np.int32), ref_doc[starts], ref_pos[starts]]
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -330,19 +330,19 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield buffer.flush()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, held = [], 0
         for doc, piece, text, at in _texts(batches, "i8 i8 i4 i8 i4"):
             split = text.split()
             parsed = factors(at, width)
             change = np.zeros(len(split) + 1, np.int64)
-            for f in parsed:
-                change[f["start"]] += 1
-                change[f["start"] + f["length"]] -= 1
+            np.add.at(change, parsed[0], 1)
+            np.add.at(change, parsed[0] + parsed[1], -1)
             kept = np.cumsum(change[:-1]) == 0
             out.append((doc, len(split), int(len(split) - kept.sum()), parsed, b" ".join(compress(split, kept.tolist())).decode()))
-            if len(out) >= 2000:
+            held += len(text) + 32 * len(parsed[0])
+            if held >= BATCH_BYTES:
                 yield _parsed(out)
-                out = []
+                out, held = [], 0
         yield _parsed(out)
 
     zipped_texts = texts.mapInArrow(zipped, _SCHEMA)
@@ -353,14 +353,17 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return parsed.withColumn("doc", F.when(F.col("doc") != int(LAST), F.col("doc"))).withColumnRenamed("doc", id_col)
 
 
-_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+_FACTOR = ("start", "length", "ref_doc", "ref_start")
 _PARSED = "doc long, n_words long, n_removed long, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>, kept_text string"
 
 
 def _parsed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(_FACTOR), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["doc", "n_words", "n_removed", "factors", "kept_text"])
+    doc, words, removed, parsed, kept = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+    ends = np.cumsum([0, *(len(f[0]) for f in parsed)]).astype(np.int32)
+    flat = [np.concatenate(c) for c in zip(*(parsed or [factors(None, WIDTH)]), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in flat], _FACTOR))
+    columns = [*(pa.array(c, pa.int64()) for c in (doc, words, removed)), lists, pa.array(kept, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "n_words", "n_removed", "factors", "kept_text"])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ def test_hidden_html(page, clean, details):
 
 
 def test_html_is_linear():
+    stray = "<i>" * 20_000 + "</q>" * 20_000 + "<b hidden>x</b>" * 20_000
+    assert C.strip_html(stray)[0] == "<i>" * 20_000 + "</q>" * 20_000
     page = "<p style='color:red'>text <b>x</b>" * 80_000
     assert C.strip_html(page) == (page, [])
 

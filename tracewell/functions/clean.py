@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import html
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections import Counter
+from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -248,7 +250,6 @@ class Element:
     attributes: dict[str, str]
     spans: dict[str, tuple[int, int]]
     end: int = -1
-    text: list[str] = field(default_factory=list)
 
 
 def _attributes(text: str, at: int) -> tuple[dict[str, str], dict[str, tuple[int, int]]]:
@@ -262,48 +263,54 @@ def _attributes(text: str, at: int) -> tuple[dict[str, str], dict[str, tuple[int
     return values, spans
 
 
-def elements(source: str) -> list[Element]:
-    """The elements of a page in order of their start, with their extent and text."""
+def elements(source: str) -> tuple[list[Element], list[tuple[int, int]]]:
+    """The elements of a page in order of their start, and where its texts lie."""
     found: list[Element] = []
+    texts: list[tuple[int, int]] = []
     open_now: list[Element] = []
+    open_tags: Counter[str] = Counter()  # so that stray end tags cost nothing
     at = 0
 
     def close(upto: int, end: int, last: int) -> None:
         while len(open_now) > upto:
             closed = open_now.pop()
+            open_tags[closed.tag] -= 1
             closed.end = end if len(open_now) > upto else last
 
-    def said(text: str) -> None:
-        if text:
-            plain = html.unescape(text)
-            for e in open_now:
-                e.text.append(plain)
-
     while m := _TAG.search(source, at):
-        said(source[at : m.start()])
+        if m.start() > at:
+            texts.append((at, m.start()))
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            where = next((k for k in range(len(open_now) - 1, -1, -1) if open_now[k].tag == tag), None)
-            if where is not None:
-                close(where, m.start(), m.end())
+            if open_tags[tag] > 0:
+                close(next(k for k in range(len(open_now) - 1, -1, -1) if open_now[k].tag == tag), m.start(), m.end())
             continue
         while open_now and open_now[-1].tag in ENDS.get(tag, ()):
             close(len(open_now) - 1, m.start(), m.start())
-        element = Element(tag, m.start(), m.end(), *_attributes(m[3], m.start(3)))
+        element = Element(tag, m.start(), m.end(), *(_attributes(m[3], m.start(3)) if m[3] else ({}, {})))
         found.append(element)
         if tag in VOID:
             element.end = m.end()
             continue
         open_now.append(element)
+        open_tags[tag] += 1
         if tag in ("script", "style"):
             done = re.compile(rf"</{tag}\b", re.I).search(source, at)
             stop = done.start() if done else len(source)
-            for e in open_now:
-                e.text.append(source[at:stop])
+            if stop > at:
+                texts.append((at, stop))
             at = stop
-    said(source[at:])
+    if len(source) > at:
+        texts.append((at, len(source)))
     close(0, len(source), len(source))
-    return found
+    return found, texts
+
+
+def _payload(e: Element, source: str, texts: list[tuple[int, int]]) -> str:
+    """The text in an element, or what its content or value attribute says."""
+    first, last = bisect_left(texts, (e.inner, 0)), bisect_left(texts, (e.end, 0))
+    said = [html.unescape(source[a:b]) for a, b in texts[first:last]]
+    return "".join(said) or e.attributes.get("content", "") or e.attributes.get("value", "")
 
 
 def colour(raw: str | None) -> str | None:
@@ -341,6 +348,8 @@ def unseen_colour(style: str, page_has_background: bool) -> bool:
 
 
 def _hidden(e: Element, page_has_background: bool) -> bool:
+    if not e.attributes:
+        return False
     style = e.attributes.get("style", "")
     return (
         "hidden" in e.attributes
@@ -371,15 +380,16 @@ def strip_html(page: str) -> tuple[str, list[Finding]]:
     background = bool(re.search(r"(?i)background(-color)?\s*:|bgcolor\s*=", page))
     cuts: list[tuple[int, int]] = []
     gone = -1
-    for e in elements(source):
+    found_elements, texts = elements(source)
+    for e in found_elements:
         if e.start < gone:  # inside what went
             continue
-        payload = "".join(e.text) or e.attributes.get("content", "") or e.attributes.get("value", "")
-        reason = None
+        reason, payload = None, ""
         if e.tag in DROP_TAGS:
+            payload = _payload(e, source, texts)
             reason = f"tag:{e.tag}" if payload.strip() else None
         elif _hidden(e, background):
-            reason = "hidden-element"
+            reason, payload = "hidden-element", _payload(e, source, texts)
         if reason:
             found.append(("hidden-html", reason, sample(payload, 512)))
             cuts.append((e.start, e.end))

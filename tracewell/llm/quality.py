@@ -200,8 +200,9 @@ SQL = {
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, source, x, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS ws,
   list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
-g AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM w WHERE len(ws) > 2),
-h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+a AS (SELECT doc_id, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, v || ' ' || lead(v) OVER d || ' ' || lead(v, 2) OVER d AS k FROM a WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g WHERE k IS NOT NULL),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY 1),
 l AS (SELECT doc_id, source, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS k,
   len(list_filter(regexp_split_to_array(s, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')) AS n FROM (SELECT doc_id, source, unnest(ls) AS s FROM w)),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import cleaning, decisions, provenance, streams
+from tracewell.plans import cleaning, decisions, provenance, reading, streams
 
-_MODULES = (provenance, cleaning, decisions, streams)
+_MODULES = (provenance, cleaning, decisions, reading, streams)
 
 
 def queries() -> dict:

@@ -141,9 +141,13 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """(row, pos): the key of a row of ``docs`` and the position of a line that goes."""
+    """(row, pos): the key of a row of ``docs`` and the position of a line that goes.
+
+    ``docs`` should be read from a table, as the pipeline's stages are: what a
+    task decides by itself depends on the order of its rows, and a second
+    attempt must see the same.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a shuffled input could come in another order on a second attempt, so it is read in a fixed one
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc"),
         row_key(docs, id_col, text_col).alias("row"),

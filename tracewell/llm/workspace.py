@@ -52,16 +52,25 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
 
+    def _files(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back; its lineage ends here."""
+        """Write ``df`` and return it as read back; its lineage ends here.
+
+        The tables go when the driver ends, if not before.
+        """
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        root, files = self._files(self.root)
+        files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(f"{self.root}/{name}")
+        files.delete(path, True)
 
 
 def broadcast_if_small(table: DataFrame, width: str = "1", bytes_each: int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -103,6 +103,29 @@ def test_token_counts(docs):
     assert counted(got) == counted(want)
 
 
+def test_batches_keep_their_documents():
+    """One Arrow batch in many lots gives what one lot gives."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, encode, _):
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in ROWS], pa.int64()), pa.array([r[1] for r in ROWS])], ["doc_id", "text"])
+            return [row for out in encode(iter([batch])) for row in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+    path, whole = public_tokenizers.path("word_bpe_49k.json"), pieces.BATCH_CHARS
+    want = packing.pieces(Rows(), path)
+    pieces.BATCH_CHARS = 500
+    try:
+        assert packing.pieces(Rows(), path) == want
+        assert [len(g) for g in pieces.by_size(["a" * 300] * 5)] == [2, 2, 1]
+    finally:
+        pieces.BATCH_CHARS = whole
+    assert {w[0] for w in want} == {r[0] for r in ROWS}
+
+
 def test_cached_pieces_equal_the_library():
     rng = random.Random(3)
     alphabet = ["a", "B", "é", "é", " ", "  ", ",", ".", "\n", "\t", "'s", "ll", "<|endoftext|>", "1", "_", "-", "中", " ", "　", "​", "H̱", "\x1c", "\x85", "İ"]

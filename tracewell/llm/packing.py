@@ -43,10 +43,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TokenIds(tokenizer)
         for batch in batches:
-            docs_of = iter(batch.column(0).to_pylist())
+            docs_of, done = batch.column(0).to_pylist(), 0
             for group in by_size(t.as_py() or "" for t in batch.column(1)):
-                rows = []
-                for doc, ids in zip(docs_of, ids_of(group)):  # noqa: B905
+                rows, mine = [], docs_of[done : done + len(group)]
+                done += len(group)
+                for doc, ids in zip(mine, ids_of(group), strict=True):
                     ids += END
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

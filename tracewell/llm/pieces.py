@@ -56,9 +56,9 @@ def spaced(text: str) -> list[str]:
     return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
-def by_size(texts: Iterable[str], limit: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """``texts`` in order, in lists of about ``limit`` characters."""
-    batch, held = [], 0
+def by_size(texts: Iterable[str], limit: int | None = None) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``limit`` characters (:data:`BATCH_CHARS`)."""
+    batch, held, limit = [], 0, limit or BATCH_CHARS
     for text in texts:
         batch.append(text)
         held += len(text)

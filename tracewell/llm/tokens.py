@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.pieces import BATCH_CHARS, TokenCounter, by_size
+from tracewell.llm.pieces import TokenCounter, by_size
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:
@@ -25,7 +25,7 @@ def n_tokens(text: Column, tokenizer: str) -> Column:
         counter = TokenCounter(tokenizer)
         for batch in batches:
             texts = (x.as_py() or "" for x in batch)
-            yield pa.array([n for group in by_size(texts, BATCH_CHARS) for n in counter(group)], pa.int64())
+            yield pa.array([n for group in by_size(texts) for n in counter(group)], pa.int64())
 
     return count(text)
 

@@ -58,6 +58,19 @@ def test_vectors(spark, monkeypatch):
     assert neighbours.near_vectors(table.limit(0)).collect() == []
 
 
+def test_links_across_saturated_groups(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    one, two = unit(rng.normal(size=(2, 64)))
+    other = unit(one + 0.255 * unit(two - (one @ two) * one))
+    both = np.concatenate([unit(c + 0.006 * rng.normal(size=(20, 64))) for c in (one, other)])
+    near = both @ both.T
+    assert near[:20, :20].min() > near[:20, 20:].max() and (near[:20, 20:] >= 0.95).all()
+    rows = [(k, list(map(float, v))) for k, v in enumerate(both)]
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(k, 39, 0, k == 0) for k in range(40)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(120)] + [(7, 7), (5, 4), (5, 4)]

@@ -7,10 +7,12 @@ keeps the best of each list; rounds end when few lists change.  Links of at
 least the threshold are then computed exactly in double precision.
 
 A node whose list holds nothing but links is saturated: it may have more than
-the list can hold.  Instead of a fixed limit, the lists of every component of
-three nodes or more are enlarged to the whole component, whose nodes are
-compared block by block with exact cosines; only counts leave the blocks, no
-pairs.  So lists bound the search, and never what is counted in a component.
+the list can hold.  A link that no list holds has two saturated ends, so the
+saturated nodes are compared again, in tables of their own, with those of other
+components, and components that meet are joined.  Then the lists of every
+component of three nodes or more are enlarged to the whole component, whose
+nodes are compared block by block with exact cosines; only counts leave the
+blocks, no pairs.  So lists bound the search, and never what is counted.
 
 Lists start from tables, and nodes of a table's bucket above ``BUCKET`` are
 dealt by hash into parts, so no bucket is read as a whole by a task.
@@ -132,20 +134,28 @@ def _kept(edges: DataFrame, size: int) -> DataFrame:
     return best.repartition("a").sortWithinPartitions("a", F.desc("score"), "b").mapInArrow(cut, _EDGE)
 
 
+def _bits(count: int) -> int:
+    return max(1, round(math.log2(max(2, count / BUCKET_WANTED))))
+
+
+def _table_keys(q: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each row in each table."""
+    planes = np.random.default_rng(17).standard_normal((q.shape[1], TABLES * bits))
+    signs = (q @ planes > 0).reshape(len(q), TABLES, bits)
+    return (signs << np.arange(bits)).sum(2) + (np.arange(TABLES, dtype=np.int64) << 40)
+
+
 def _tables(nodes: DataFrame, count: int, work: Workspace) -> DataFrame:
     """Edges from tables of random hyperplanes."""
-    bits = max(1, round(math.log2(max(2, count / BUCKET_WANTED))))
+    bits = _bits(count)
 
     def hashed(with_vector: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q = _quantised(batch.column(1))
-                planes = np.random.default_rng(17).standard_normal((q.shape[1], TABLES * bits))
-                signs = (q @ planes > 0).reshape(len(q), TABLES, bits)
-                keys = (signs << np.arange(bits)).sum(2) + (np.arange(TABLES, dtype=np.int64) << 40)
-                repeat = np.repeat(np.arange(len(q)), TABLES)
+                keys = _table_keys(_quantised(batch.column(1)), bits)
+                repeat = np.repeat(np.arange(len(keys)), TABLES)
                 columns = [pa.array(keys.ravel()), batch.column(0).take(pa.array(repeat))]
                 if with_vector:
                     columns.append(batch.column(1).take(pa.array(repeat)))
@@ -212,6 +222,45 @@ def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(cosine, "a long, b long")
 
 
+def _saturated(graph: DataFrame, threshold: float) -> DataFrame:
+    """Nodes whose full list may hold nothing but links."""
+    return graph.groupBy("a").agg(F.min("score").alias("worst"), F.count("*").alias("many")).filter((F.col("many") >= LIST) & (F.col("worst") >= threshold - SLACK)).select(F.col("a").alias("id"))
+
+
+def _across(full: DataFrame, nodes: DataFrame, roots: DataFrame, count: int, threshold: float, work: Workspace) -> DataFrame:
+    """Links between components (a and b are roots) from saturated nodes, those
+    of a bucket with several components compared block by block."""
+    bits = _bits(count)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _table_keys(_quantised(batch.column(2)), bits)
+                repeat = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(repeat), batch.column(1).take(repeat)], ["key", "id", "root"])
+
+    rooted = full.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(nodes.select("id", "q"), "id")
+    source = rooted.select("id", F.coalesce("root", "id").alias("root"), "q")
+    keyed = work.save(source.mapInArrow(hashed, "key long, id long, root long"), "keyed")
+    mixed = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "blocks")
+    placed = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    vectors = placed.join(nodes.select("id", "body"), "id")
+    met = vectors.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "block", "root", "body")
+    tasks = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "root", "body")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3, 1 << 20):
+            block, root = group.column(3).to_numpy(), group.column(4).to_numpy()
+            unit = _units(group.column(5))
+            first, second = np.flatnonzero(block == group.column(1)[0].as_py()), np.flatnonzero(block == group.column(2)[0].as_py())
+            i, j = np.nonzero((unit[first] @ unit[second].T >= threshold) & (root[first][:, None] != root[second]))
+            pairs = np.unique(np.sort(np.stack([root[first][i], root[second][j]], 1), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "root")
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
+
+
 def _completed(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, linked): for nodes of components of three or more, the rows at the
     threshold, from comparing a component block by block."""
@@ -256,7 +305,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             )
 
     nodes = work.save(classes.mapInArrow(stored, "v array<double>, id long, many long, length int, body binary, q binary"), "nodes")
-    found = []
+    found, saturated = [], []
     lengths = [(r["length"], r["count"]) for r in nodes.groupBy("length").count().collect()]
     for length, count in sorted(lengths):
         of = nodes.filter(F.col("length") == length)
@@ -271,10 +320,19 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 break
         near = graph.filter(F.col("score") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(work.save(_exact(near, of, threshold), f"links-{length}"))
+        full = work.save(_saturated(graph, threshold), f"full-{length}")
+        if many := full.count():
+            saturated.append((length, many, full))
     links = found[0] if found else work.spark.createDataFrame([], "a long, b long")
     for more in found[1:]:
         links = links.unionAll(more)
     roots = components(links, work)
+    if saturated:
+        joined = links
+        for length, many, full in saturated:
+            across = Workspace(rows.sparkSession, "neighbours-across")
+            joined = joined.unionAll(across.save(_across(full, nodes.filter(F.col("length") == length), roots, many, threshold, across), "joined"))
+        roots = components(joined, Workspace(rows.sparkSession, "neighbours-joined"))
     sized = work.save(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").join(nodes.select(F.col("id").alias("node"), "many"), "node"), "sized")
     small = sized.filter("size = 2").alias("s").join(sized.filter("size = 2").alias("t"), F.expr("s.root = t.root AND s.node <> t.node")).select(F.col("s.node").alias("id"), F.col("t.many").alias("linked"))
     large = _completed(sized.filter("size > 2").select("node", "root"), nodes, threshold)

@@ -71,6 +71,18 @@ def test_links_across_saturated_groups(spark):
     assert sorted(map(tuple, got)) == [(k, 39, 0, k == 0) for k in range(40)]
 
 
+@pytest.mark.parametrize("count", [10_000, 150_000, 3_000_000, 300_000_000])
+def test_pairs_at_the_threshold_meet_at_any_size(count):
+    bits, rng = neighbours._bits(count), np.random.default_rng(6)
+    tables = range(neighbours._tables_for(bits, 0.95))
+    one, other = rng.normal(size=(2, 2000, 64)).astype(np.float32)
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(1, keepdims=True) * one
+    near = 0.95 * one + np.sqrt(1 - 0.95**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    met = (neighbours._table_keys(one, bits, tables) == neighbours._table_keys(near, bits, tables)).any(1)
+    assert met.mean() >= 0.98
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(120)] + [(7, 7), (5, 4), (5, 4)]

@@ -3,8 +3,9 @@
 Equal vectors are one node from the start.  The first neighbour lists come from
 tables of random hyperplanes.  Each round then joins, at every node, its
 neighbours and those it is a neighbour of, scores them against each other, and
-keeps the best of each list; rounds end when few lists change.  Links of at
-least the threshold are then computed exactly in double precision.
+keeps the best of each list; rounds end when few entries change.  The number of
+tables grows with their bits, so that two nodes at the threshold meet with the
+same probability however many nodes there are.  Links of at least the threshold are then computed exactly in double precision.
 
 A node whose list holds nothing but links is saturated: it may have more than
 the list can hold.  A link that no list holds has two saturated ends, so the
@@ -36,8 +37,10 @@ from tracewell.llm.components import components
 from tracewell.llm.workspace import Workspace, broadcast_if_small
 
 THRESHOLD = 0.95
-#: Neighbours in a list; tables of hyperplanes; rounds at most; share of changed entries that ends them.
-LIST, TABLES, ROUNDS, DONE = 8, 8, 3, 0.01
+#: Neighbours in a list; tables of hyperplanes at least, and those shuffled at once; share of changed entries that ends the rounds.
+LIST, TABLES, AT_ONCE, DONE = 8, 8, 10, 0.01
+#: Probability that two nodes at the threshold meet in a table.
+MEET = 0.99
 #: Nodes compared at once, and the size that a table's buckets are made for.
 BUCKET, BUCKET_WANTED, BLOCK = 1024, 48, 512
 #: Scores of the search are from rounded components; what is near enough is computed exactly.
@@ -138,24 +141,43 @@ def _bits(count: int) -> int:
     return max(1, round(math.log2(max(2, count / BUCKET_WANTED))))
 
 
-def _table_keys(q: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket of each row in each table."""
-    planes = np.random.default_rng(17).standard_normal((q.shape[1], TABLES * bits))
-    signs = (q @ planes > 0).reshape(len(q), TABLES, bits)
-    return (signs << np.arange(bits)).sum(2) + (np.arange(TABLES, dtype=np.int64) << 40)
+def _tables_for(bits: int, threshold: float) -> int:
+    """Tables in which two nodes at ``threshold`` meet with probability :data:`MEET`."""
+    alike = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return TABLES if not 0 < alike < 1 else max(TABLES, math.ceil(math.log(1 - MEET) / math.log(1 - alike)))
 
 
-def _tables(nodes: DataFrame, count: int, work: Workspace) -> DataFrame:
+def _table_keys(q: np.ndarray, bits: int, tables: range) -> np.ndarray:
+    """The bucket of each row in each of ``tables``."""
+    planes = np.stack([np.random.default_rng((17, k)).standard_normal((q.shape[1], bits)) for k in tables], 1)
+    signs = (q @ planes.reshape(q.shape[1], -1) > 0).reshape(len(q), len(tables), bits)
+    return (signs << np.arange(bits)).sum(2) + (np.array(tables, np.int64) << 40)
+
+
+def _first_lists(nodes: DataFrame, count: int, threshold: float, work: Workspace, name: str) -> DataFrame:
+    """The best neighbours of each node from all tables, some tables at a time."""
+    bits, graph = _bits(count), None
+    wanted = _tables_for(bits, threshold)
+    lots = math.ceil(wanted / AT_ONCE)
+    for k in range(lots):
+        tables = range(k * wanted // lots, (k + 1) * wanted // lots)
+        edges = _tables(nodes, bits, tables, Workspace(nodes.sparkSession, "neighbours-tables"))
+        last, graph = graph, work.save(_kept(edges if graph is None else graph.unionAll(edges), LIST), f"{name}-tables-{k}")
+        if last is not None:
+            work.drop(f"{name}-tables-{k - 1}")
+    return graph
+
+
+def _tables(nodes: DataFrame, bits: int, tables: range, work: Workspace) -> DataFrame:
     """Edges from tables of random hyperplanes."""
-    bits = _bits(count)
 
     def hashed(with_vector: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = _table_keys(_quantised(batch.column(1)), bits)
-                repeat = np.repeat(np.arange(len(keys)), TABLES)
+                keys = _table_keys(_quantised(batch.column(1)), bits, tables)
+                repeat = np.repeat(np.arange(len(keys)), len(tables))
                 columns = [pa.array(keys.ravel()), batch.column(0).take(pa.array(repeat))]
                 if with_vector:
                     columns.append(batch.column(1).take(pa.array(repeat)))
@@ -231,11 +253,12 @@ def _across(full: DataFrame, nodes: DataFrame, roots: DataFrame, count: int, thr
     """Links between components (a and b are roots) from saturated nodes, those
     of a bucket with several components compared block by block."""
     bits = _bits(count)
+    tables = range(_tables_for(bits, threshold))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _table_keys(_quantised(batch.column(2)), bits)
+                keys = _table_keys(_quantised(batch.column(2)), bits, tables)
                 repeat = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(repeat), batch.column(1).take(repeat)], ["key", "id", "root"])
 
@@ -309,15 +332,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     lengths = [(r["length"], r["count"]) for r in nodes.groupBy("length").count().collect()]
     for length, count in sorted(lengths):
         of = nodes.filter(F.col("length") == length)
-        graph = work.save(_kept(_tables(of, count, Workspace(rows.sparkSession, "neighbours-tables")), LIST), f"graph-{length}-0")
-        for k in range(1, ROUNDS + 1):
-            new = work.save(_round(graph, of), f"new-{length}-{k}")
-            changed = new.count()
-            graph = work.save(_kept(graph.unionAll(new), LIST), f"graph-{length}-{k}")
-            work.drop(f"new-{length}-{k}")
-            work.drop(f"graph-{length}-{k - 1}")
-            if changed < DONE * LIST * count:
-                break
+        graph, k, changed = _first_lists(of, count, threshold, work, f"graph-{length}"), 0, count * LIST
+        while changed and changed >= DONE * LIST * count:
+            k += 1
+            better = work.save(_kept(graph.unionAll(_round(graph, of)), LIST), f"graph-{length}-{k}")
+            changed = better.join(graph.select("a", "b"), ["a", "b"], "left_anti").count()
+            if k > 1:
+                work.drop(f"graph-{length}-{k - 1}")
+            graph = better
         near = graph.filter(F.col("score") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(work.save(_exact(near, of, threshold), f"links-{length}"))
         full = work.save(_saturated(graph, threshold), f"full-{length}")

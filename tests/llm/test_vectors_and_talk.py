@@ -163,3 +163,22 @@ def test_stages_handle_awkward_rows(spark):
     for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table.withColumn("kept", F.lit("x")), "").collect() is not None
+
+
+def test_stage_takes_near_copies_and_no_others(spark):
+    rng = random.Random(11)
+    texts, copies, other = [], [], []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        changed = list(words)
+        for at in rng.sample(range(300), 5):
+            changed[at] = "changed"
+        texts.append(" ".join(words))
+        copies.append(" ".join(changed))
+        other.append(" ".join(words[:150] + [f"v{rng.randint(0, 5000)}" for _ in range(150)]))
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert all(near(a, b) >= 0.8 > near(a, c) for a, b, c in zip(texts, copies, other, strict=True))
+    rows = list(enumerate([*texts, *copies, *other]))
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [*range(40), *range(80, 120)]

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import golay
 from tracewell.llm.components import components
+from tracewell.llm.near_copies import near_copies
 from tracewell.llm.workspace import Workspace
 
 #: First bit and number of bits of each segment.
@@ -192,10 +193,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of smallest id of each component stays.
+    """Pipeline stage: of each component of near copies (five words, similarity
+    of 0.8 or more) the document of smallest id stays.
 
     Rows of one id are one document; which of them stays is open.
     """
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tw_id")).distinct()
+    kept = near_copies(docs).groupBy("root").agg(F.min("doc_id").alias("_tw_id")).select("_tw_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_tw_id"]), "left_semi").dropDuplicates(["doc_id"])

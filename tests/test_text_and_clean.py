@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import clean as C
 from tracewell.functions import text as T
+from tracewell.plans import cleaning
 
 HIDDEN = [
     ("<p>a</p><div style='display:none'>secret <b>x</b></div>t", "<p>a</p>t", ["hidden-element"]),
@@ -98,3 +99,10 @@ def test_window_key(spark):
     first = rows.limit(1).select(T.window_key(F.col("t")).alias("k"))
     assert first.select(T.parse_key(F.col("k")).alias("n")).first().n[0] == 440920331
     assert [r[0] for r in rows.select(T.parse_key(F.col("t"))).collect()] == [None, None, None]
+
+
+def test_for_human_shows_whole_documents(spark, tmp_path):
+    text = "a" * 300 + chr(0x200B) + "b" * 50 + chr(7)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    shown = cleaning.for_human(spark, str(tmp_path)).first().shown
+    assert shown == "a" * 300 + "<U+200B>" + "b" * 50 + "<U+0007>"

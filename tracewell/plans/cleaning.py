@@ -86,9 +86,9 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def for_human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of documents with control characters named."""
+    """Documents with control characters named."""
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", R.for_human(F.substring("text", 1, 200)).alias("shown"), R.safe(F.col("text"), 140).alias("safe"))
+    return docs.select("doc_id", R.for_human(F.col("text")).alias("shown"), R.safe(F.col("text"), 140).alias("safe"))
 
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"

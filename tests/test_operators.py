@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.operators import policy as G
 from tracewell.operators import provenance as P
 from tracewell.operators import session as S
-from tracewell.plans import catalogue
+from tracewell.plans import catalogue, decisions
+from tracewell.plans import provenance as V
 from tracewell.sources import events as E
 from tracewell.sources import policy as L
 
@@ -149,3 +150,25 @@ def test_entry_imports_without_the_corpus_subpackage(tmp_path):
     shutil.copytree(root / "tracewell", tmp_path / "tracewell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_whole_documents_are_quarantined(spark, tmp_path):
+    tail = ("evil9.example.com " + "word " * 40)[:95]
+    seam = "user@" + ("filler " * 50)[:300] + tail
+    rows = [(3, "word " * 200), (6, seam), (1, "short text that only loses some of its words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.refused for r in decisions.quarantine_whole(spark, str(tmp_path)).collect()}
+    assert got[3].startswith("most of argument note would go") and got[6].endswith("would change its addressee") and got[1] == ""
+
+
+def test_every_window_has_its_key(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog again"
+    spark.createDataFrame([(1, text), (2, "too short")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.value_id, r["at"]): (r.fnv, r.djb) for r in V.window_keys_whole(spark, str(tmp_path)).collect()}
+    want = {}
+    for at in range(len(text) - 31):
+        fnv, djb = 0x811C9DC5, 5381
+        for c in map(ord, text[at : at + 32]):
+            fnv, djb = (fnv ^ c) * 0x01000193 & 0xFFFFFFFF, djb * 33 + c & 0xFFFFFFFF
+        want[1, at] = (fnv, djb)
+    assert got == want

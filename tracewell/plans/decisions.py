@@ -166,6 +166,18 @@ def quarantine_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "cut", F.coalesce(why, F.lit("")).alias("refused")).filter("NOT refused LIKE '%addressee'")
 
 
+def quarantine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with spans cut; of every third, three quarters go."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("v"))
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).cast("int").alias("end"))
+    most = span(5, 5 + F.ceil(F.length("v") * 0.75))
+    spans = F.when(F.col("doc_id") % 3 == 0, F.array(most)).otherwise(F.array(span(8, 20), span(5, 12)))
+    cut = docs.withColumn("cut", G.cut_spans(F.col("v"), spans))
+    key = F.when(F.col("doc_id") % 5 == 0, F.lit("file-Path")).otherwise(F.lit("note"))
+    why = G.quarantine(key, F.col("v"), spans, T.atoms(F.col("v")), T.atoms(F.col("cut")), F.col("cut"))
+    return cut.select("doc_id", "cut", F.coalesce(why, F.lit("")).alias("refused"))
+
+
 def self_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths and commands that would reach the checker itself."""
     k = F.col("k")
@@ -307,4 +319,4 @@ y AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'unparsable' WHEN k % 5 = 0 THEN 'prom
 SELECT dialect, kind, CASE WHEN k % 23 = 0 THEN 'default' ELSE 's' || (k % 3) END AS session_id, CASE WHEN kind IN ('call', 'result') THEN CASE WHEN k % 6 = 0 THEN '' ELSE 'T' END END AS tool,
   CASE WHEN kind IN ('call', 'result') THEN CASE WHEN k % 4 >= 2 THEN '{{"a":1}}' ELSE '{{}}' END END AS args, CASE kind WHEN 'prompt' THEN 'hi' WHEN 'display' THEN 'd' WHEN 'answer' THEN '' END AS text, count(*) AS n FROM y GROUP BY ALL""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "response_text", "rendered_decisions")}
+QUERIES = {name: globals()[name] for name in (*SQL, "response_text", "rendered_decisions", "quarantine_whole")}

@@ -87,6 +87,14 @@ def window_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("value_id", F.get(T.parse_key(F.col("key")), F.lit(0)).alias("fnv"), F.get(T.parse_key(F.col("key")), F.lit(1)).alias("djb")).filter("fnv IS NOT NULL")
 
 
+def window_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every window of each item, and its numbers read back."""
+    normal = _values(spark, sf_dir).select("value_id", T.normalize(F.col("text")).alias("t")).filter(F.length("t") >= T.WINDOW)
+    placed = normal.select("value_id", "t", F.explode(F.sequence(F.lit(0), F.length("t") - T.WINDOW)).alias("at"))
+    keyed = placed.select("value_id", "at", T.window_key(F.substring("t", F.col("at") + 1, F.lit(T.WINDOW))).alias("key"))
+    return keyed.select("value_id", "at", F.get(T.parse_key(F.col("key")), F.lit(0)).alias("fnv"), F.get(T.parse_key(F.col("key")), F.lit(1)).alias("djb"))
+
+
 _DECODE = ("plain", "a%20b", "a+b", "%2561", "100%", "%E9x", "x%2Fy+z%20w")
 
 
@@ -151,7 +159,7 @@ c AS (SELECT value_id, list_transform(string_split(w, ''), lambda x: unicode(x):
 SELECT value_id, list_reduce(list_prepend(2166136261::BIGINT, c), lambda h, x: ((xor(h, x)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS fnv,
   list_reduce(list_prepend(5381::BIGINT, c), lambda h, x: (h * 33 + x) % 4294967296) AS djb FROM c""",
     "decoded_probe": """SELECT * FROM (VALUES (1, 'a b'), (2, 'a b'), (3, '%61'), (3, 'a'), (6, 'x/y+z w'), (6, 'x%2Fy z%20w'), (6, 'x/y z w')) t(id, spelling)""",
-    "sample_text": """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+QUERIES = {name: globals()[name] for name in (*SQL, "window_keys_whole")}
 SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || chr(8230) ELSE t END AS sample FROM f""",
     "prose_run": """
 WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),

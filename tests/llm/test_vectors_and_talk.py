@@ -182,3 +182,10 @@ def test_stage_takes_near_copies_and_no_others(spark):
     rows = list(enumerate([*texts, *copies, *other]))
     got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in got) == [*range(40), *range(80, 120)]
+
+
+def test_stage_keeps_rows_whose_ids_are_null_or_repeated(spark):
+    text = lambda k: " ".join(f"t{k}w{n}" for n in range(100))
+    rows = [(None, text(0)), (None, text(1)), (1, text(2)), (5, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (7, text(5))]
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, got)) == Counter([(None, text(0)), (None, text(1)), (1, text(2)), (5, text(3)), (7, text(4)), (7, text(5))])

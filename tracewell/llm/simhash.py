@@ -194,9 +194,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (five words, similarity
-    of 0.8 or more) the document of smallest id stays.
+    of 0.8 or more) the row of smallest id stays, a null id last.
 
-    Rows of one id are one document; which of them stays is open.
+    Rows alike in id and text are one document; which of them stays is open.
     """
-    kept = near_copies(docs).groupBy("root").agg(F.min("doc_id").alias("_tw_id")).select("_tw_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_tw_id"]), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+    kept = near_copies(docs).groupBy("root").agg(first).select(F.col("first.id").alias("_tw_id"), F.col("first.hash").alias("_tw_kept")).distinct()
+    keyed = docs.withColumn("_tw_hash", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(kept["_tw_id"]) & (keyed["_tw_hash"] == kept["_tw_kept"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_tw_hash"]).drop("_tw_hash")

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracewell.llm import golay, line_dedup, mixing, packing, pieces, pii, quality, simhash, substring, tokens
+from tracewell.llm.workspace import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -323,14 +324,50 @@ def decreasing_best_fit(lengths, capacity) -> int:
     return len(gaps)
 
 
-def test_runs_are_best_fit():
+def sweep_by_hand(sizes) -> list[tuple[int, int]]:
+    """Each piece, from large to small, takes the smallest gap before it."""
+    free, met = [], []
+    for place, is_gap in enumerate(sizes):
+        if is_gap:
+            free.append(place)
+        elif free:
+            met.append((free.pop(), place))
+    return met
+
+
+def test_sweeps_and_what_they_carry():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        gap = rng.random(rng.integers(1, 80)) < rng.random()
+        want = sweep_by_hand(gap)
+        assert sorted(zip(*packing.meet(gap), strict=True)) == sorted(want)
+        # the same in three ranges: what they leave meets by rank
+        cuts = sorted(rng.integers(0, len(gap) + 1, 2))
+        met, left, free = [], {}, {}
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(gap)], strict=True)):
+            here = [(int(g) + a, int(p) + a) for g, p in zip(*packing.meet(gap[a:b]), strict=True)]
+            met += here
+            used = {x for pair in here for x in pair}
+            left[part] = [x for x in range(a, b) if not gap[x] and x not in used]
+            free[part] = [x for x in range(a, b) if gap[x] and x not in used]
+        for part, rank, of, top, n, _ in packing.carried({k: len(v) for k, v in left.items()}, {k: len(v) for k, v in free.items()}):
+            met += [(free[of][top - i], left[part][rank + i]) for i in range(n)]
+        assert sorted(met) == sorted(want)
+
+
+def test_rounds_pack_as_well_as_best_fit(spark):
     rng = random.Random(9)
-    for _ in range(40):
-        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 300))]
-        runs = packing.Runs(60)
-        for n, many in sorted(Counter(lengths).items(), reverse=True):
-            runs.match(n, many)
-        assert runs.sequences == decreasing_best_fit(lengths, 60)
+    for lengths in ([rng.randint(1, 60) for _ in range(500)], [31] * 40 + [30] * 41 + [1] * 7, [60] * 5, [rng.choice((1, 2, 29)) for _ in range(300)]):
+        work = Workspace(spark, "test-packing")
+        sizes = work.save(spark.createDataFrame([(k, n, "extra") for k, n in enumerate(lengths)], "ROW long, length long, gap string"), "sizes")
+        got = packing.pack(sizes, work, 60).collect()
+        assert sorted((r.ROW, r.length, r.gap) for r in got) == [(k, n, "extra") for k, n in enumerate(lengths)]
+        used = Counter()
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == used[r.sequence_id]
+            used[r.sequence_id] += r.length
+        assert max(used.values()) <= 60
+        assert len(used) <= 1.01 * decreasing_best_fit(lengths, 60) + 1
 
 
 def test_mixing(docs):

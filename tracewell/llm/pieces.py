@@ -2,19 +2,23 @@
 
 A text is cut where no token can span the cut; each different piece is encoded
 once by the tokenizers library and remembered, so frequent words cost one
-lookup.  The memory of a worker is bounded: a full cache is emptied.
+lookup.  The memory of a worker is bounded in bytes and outlives its tasks.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers.
-CACHE_PIECES = 1_000_000
+#: Pieces and their results that a worker remembers, in bytes with all overhead.
+CACHE_BYTES = 150_000_000
 #: Characters of text that are cut and encoded together.
 BATCH_CHARS = 4_000_000
 #: A longer text is cut at safe places before its pieces are listed.
@@ -72,9 +76,9 @@ def by_size(texts: Iterable[str], limit: int | None = None) -> Iterator[list[str
 class TokenCounter:
     """Numbers of tokens of a byte-level vocabulary."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         self.encode = load(path).encode_batch_fast
-        self.limit = cache_pieces
+        self.limit, self.held = cache_bytes, 0
         self.after_space: dict[str, int] = {}
 
     def _learn(self, pieces: set[str]) -> None:
@@ -82,6 +86,7 @@ class TokenCounter:
         for group in by_size(fresh):
             coded = self.encode([f" {x}" for x in group], add_special_tokens=False)
             self.after_space.update(zip(group, map(len, coded), strict=True))
+            self.held += sum(map(len, group)) + _ENTRY_BYTES * len(group)
 
     def __call__(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
@@ -91,8 +96,9 @@ class TokenCounter:
             if first:
                 counts[i] += len(self.encode([first], add_special_tokens=False)[0])
             if rest:
-                if len(self.after_space) > self.limit:
+                if self.held > self.limit:
                     self.after_space.clear()
+                    self.held = 0
                 self._learn(set(rest))
                 counts[i] += sum(map(self.after_space.__getitem__, rest))
         return counts
@@ -105,47 +111,126 @@ class TokenCounter:
             yield (i, "", pieces) if cut else (i, pieces[0], pieces[1:])
 
 
-#: Between a letter and the full stop or comma that ends its piece.
-_ENDING = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+#: ASCII punctuation that may end a word and is a token run of its own; an
+#: apostrophe is not among them, since it joins the letters after it.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What a remembered piece takes besides its bytes: two objects and its entry.
+_ENTRY_BYTES = 180
+
+
+def _letters_stay(word: str) -> bool:
+    """Whether the tokenizer's normal form of a word holds nothing but letters."""
+    return unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 class TokenIds:
     """Token ids of a lower-case vocabulary whose tokens hold no white space and
-    never both letters and punctuation.
-
-    A text is cut at ASCII white space, and before a full stop or comma that
-    ends a word.  ASCII text is lowered first, which its tokenizer does too;
-    other text may hold capitals that compose with the mark after them, and
-    special strings are case-sensitive, so those texts are left to it.  Ids are
-    little-endian unsigned 32-bit.
+    never both letters and punctuation, and end words with ``</w>``.
+
+    A text is cut at ASCII white space.  Words of letters are encoded many at
+    once, in one string, and told apart by the tokens that end a word; where
+    these don't tally, and for words of another kind, each is encoded by
+    itself.  A word with punctuation after it is two pieces.  Texts are lowered
+    first, which their tokenizer does too, unless a mark may compose with the
+    letter before it or a special string, which has its case, may occur.  Ids
+    are little-endian unsigned 32-bit.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
-        self.encode = load(path).encode_batch_fast
-        self.limit = cache_pieces
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        tokenizer = load(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.limit, self.held = cache_bytes, 0
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        fresh = list(pieces.difference(self.known))
-        for start in range(0, len(fresh), 50_000):
-            group = fresh[start : start + 50_000]
-            coded = self.encode([x.decode() for x in group], add_special_tokens=False)
-            self.known.update(zip(group, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
+        if self.held > self.limit // 2:  # half of the memory for what is in use, half for what was
+            self.known, self.before, self.held = {}, self.known, 0
+        known, letters, others, joined = self.known, set(), set(), {}
+        missing = pieces.difference(known)
+        again = {piece: self.before[piece] for piece in missing.intersection(self.before)}
+        for piece in missing.difference(again):
+            if piece.isalpha():
+                letters.add(piece)
+                continue
+            stem = piece.rstrip(_TAIL)
+            if stem and b"<|" not in piece and (stem.isalpha() or _letters_stay(stem.decode())):
+                letters.add(stem)
+                if len(stem) < len(piece):
+                    others.add(piece[len(stem) :])
+                    joined[piece] = stem
+            else:
+                others.add(piece)
+        known |= again
+        fresh = self._letters(list(letters.difference(known)))
+        fresh |= self._each(list(others.difference(known)))
+        known |= fresh
+        for piece, stem in joined.items():
+            joined[piece] = known[stem] + known[piece[len(stem) :]]
+        known |= joined
+        self.held += sum(sum(map(len, new)) + sum(map(len, new.values())) + _ENTRY_BYTES * len(new) for new in (fresh, joined, again))
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        for start in range(0, len(words), 5000):
+            group = words[start : start + 5000]
+            ids = np.array(self.encode([b" ".join(group).decode()], add_special_tokens=False)[0].ids, "<u4")
+            past = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(past) != len(group) or past[-1] != 4 * len(ids):
+                found |= self._each(group)
+                continue
+            data = ids.tobytes()
+            found.update((w, data[a:b]) for w, a, b in zip(group, [0, *past], past))  # noqa: B905
+        return found
+
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        for start in range(0, len(words), 50_000):
+            group = words[start : start + 50_000]
+            coded = self.encode([w.decode() for w in group], add_special_tokens=False)
+            found.update(zip(group, (array("I", e.ids).tobytes() for e in coded), strict=True))
+        return found
 
     @staticmethod
-    def _cut(text: str) -> list[bytes]:
+    def _lowered(text: str) -> bytes:
         data = text.encode()
-        if text.isascii() and "<|" not in text:
-            data = data.lower()
-        return _ENDING.sub(rb" \1", data).split()
+        # U+0300 to U+037F begin with one of two bytes
+        return data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin and end."""
+        parts = [(i, self._lowered(part)) for i, text in enumerate(texts) for part in chunks(text, BATCH_CHARS)]
+        split = pc.ascii_split_whitespace(pa.array([data for _, data in parts], pa.large_binary()).view(pa.large_string()))
+        words = pc.dictionary_encode(split.flatten().view(pa.large_binary()))
+        different = words.dictionary.to_pylist()
+        self.known[b""] = b""  # before or after the white space at an end
+        self._learn(set(different))
+        found = list(map(self.known.__getitem__, different))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = words.indices.to_numpy()
+        lengths = sizes[each]
+        past = np.concatenate([[0], np.cumsum(lengths)])
+        begins = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(past[-1]) + np.repeat(begins[each] - past[:-1], lengths)]
+        ends = past[split.offsets.to_numpy()[1:]]
+        owner = np.fromiter((i for i, _ in parts), np.int64, len(parts))
+        return ids, np.concatenate([[0], ends[np.searchsorted(owner, np.arange(len(texts)), side="right") - 1]]).astype(np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        parts = [(i, self._cut(part)) for i, text in enumerate(texts) for part in chunks(text)]
-        self._learn(set().union(*(pieces for _, pieces in parts)))
-        found = [b""] * len(texts)
-        for i, pieces in parts:
-            found[i] += b"".join(map(self.known.__getitem__, pieces))
-        return found
+        ids, at = self.flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+_shared: dict[tuple[type, str], TokenCounter | TokenIds] = {}
+
+
+def shared(kind: type, path: str):
+    """The :class:`TokenCounter` or :class:`TokenIds` of this worker process,
+    whose memory of pieces outlives a task."""
+    if (kind, path) not in _shared:
+        _shared[kind, path] = kind(path)
+    return _shared[kind, path]

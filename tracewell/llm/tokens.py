@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.pieces import TokenCounter, by_size
+from tracewell.llm.pieces import TokenCounter, by_size, shared
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:
@@ -22,7 +22,7 @@ def n_tokens(text: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = TokenCounter(tokenizer)
+        counter = shared(TokenCounter, tokenizer)
         for batch in batches:
             texts = (x.as_py() or "" for x in batch)
             yield pa.array([n for group in by_size(texts) for n in counter(group)], pa.int64())

@@ -7,69 +7,68 @@ of turns (same turn, role and text) is rendered once as the prompt.  What
 follows on either side is a completion, and its mask lists the stretches that
 are trained on: what the assistant says there, to the end of its turn.
 
-A turn is rendered as ``<|role|>``, a line end, its text and a line end.  A row
-holds the turns of one chunk of ``chunk_turns`` turn numbers, so a row is
-bounded however long a conversation is, and a usual conversation is one row.
+A turn is rendered as ``<|role|>``, a line end, its text and a line end.  A pair
+is one row, however long its conversations are; they are sorted and summed
+while they are rows, so the work grows with their length and no faster.
 
 Defined results: a null text is empty and a null role is ``unknown``; rows
-without a conversation or turn belong to none; of rows for the same turn of a
-conversation the least role and text counts; a pair with one side only gives no
-row; an empty table gives an empty table.
+without a conversation or turn belong to none; different rows for the same turn
+of a conversation all count, in order of role and text, and rows alike are one;
+a pair with one side only gives no row; other columns are not read; an empty
+table gives an empty table.  A very long text is rendered whole: a pair is limited by
+what one value of a table can hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_TURNS = 64
+#: Characters of a rendered turn besides its role and text.
+_AROUND = len("<||>\n\n")
 
 
-def _rendered(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("\n"))
+def _rendered(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n"))), "")
 
 
 def _mask(turns: Column) -> Column:
     """``start-end`` of each trained stretch, end exclusive, joined by commas."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    begin = F.get(turns, F.lit(0))
+    base = begin["past"] - F.length(begin["role"]) - F.length(begin["text"]) - _AROUND
+    span = lambda t: F.concat_ws("-", (t["past"] - base - F.length(t["text"]) - 1).cast("string"), (t["past"] - base).cast("string"))
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), span), ",")
 
-    def step(state: Column, turn: Column) -> Column:
-        header = state["at"] + F.length(turn["role"]) + 5
-        end = header + F.length(turn["text"]) + 1
-        span = F.array(F.concat_ws("-", header.cast("string"), end.cast("string")))
-        return F.struct(end.alias("at"), F.when(turn["role"] == "assistant", F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.array_join(F.aggregate(turns, start, step)["spans"], ",")
-
-
-def preference_pairs(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def preference_pairs(turns: DataFrame) -> DataFrame:
     """Rows for training from ``turns``: pair_id, rejected (boolean), turn, role, text."""
-    said = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    real = turns.filter("pair_id IS NOT NULL AND turn IS NOT NULL AND rejected IS NOT NULL")
-    both = real.groupBy("pair_id", "turn").agg(F.min(F.when(~F.col("rejected"), said)).alias("chosen"), F.min(F.when(F.col("rejected"), said)).alias("rejected"))
-    cuts = (
-        both.groupBy("pair_id")
-        .agg(F.min(F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("turn"))).alias("cut"), F.count("chosen").alias("c"), F.count("rejected").alias("r"))
-        .filter("c > 0 AND r > 0")
-        .select("pair_id", "cut")
+    said = [F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
+    real = turns.filter("pair_id IS NOT NULL AND turn IS NOT NULL AND rejected IS NOT NULL").select("pair_id", "rejected", "turn", *said)
+    ordered = Window.partitionBy("pair_id", "rejected").orderBy("turn", "role", "text")
+    same = F.lag(F.struct("turn", "role", "text")).over(ordered).eqNullSafe(F.struct("turn", "role", "text"))
+    size = (F.length("role") + F.length("text") + _AROUND).cast("long")
+    # one shuffle: windows and groups of a pair lie in one partition
+    different = real.repartition("pair_id").withColumn("same", same).filter("NOT same")
+    placed = different.withColumn("past", F.sum(size).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.struct("turn", "role", "text", "past")
+    sides = placed.groupBy("pair_id").agg(
+        *[F.sort_array(F.collect_list(F.when(of, turn))).alias(side) for side, of in (("c", ~F.col("rejected")), ("r", F.col("rejected")))]
     )
-    shared = F.coalesce(F.col("turn") < F.col("cut"), F.lit(True))
-    turn = F.struct("turn", shared.alias("shared"), "chosen", "rejected")
-    chunks = both.join(cuts, "pair_id").groupBy("pair_id", F.floor(F.col("turn") / chunk_turns).alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
-    def completion(side: str) -> Column:
-        return F.transform(F.filter("turns", lambda t: ~t["shared"] & t[side].isNotNull()), lambda t: t[side])
-
-    sides = {side: completion(side) for side in ("chosen", "rejected")}
-    prompt = F.filter("turns", lambda t: t["shared"])
-    parts = chunks.select("pair_id", "chunk", prompt.alias("prompt"), *[v.alias(k) for k, v in sides.items()])
-    return parts.select(
+    # the sums before agree as long as the turns do
+    differ = F.array_position(F.zip_with("c", "r", lambda c, r: ~c.eqNullSafe(r)), True)
+    both = sides.filter("size(c) > 0 AND size(r) > 0").select(
+        "pair_id", "c", "r", F.when(differ > 0, differ - 1).otherwise(F.least(F.size("c"), F.size("r"))).cast("int").alias("n")
+    )
+    rest = {side: F.slice(side, F.col("n") + 1, F.size(side)) for side in "cr"}
+    cut = both.select("pair_id", F.col("n").cast("long").alias("n_prompt_turns"), F.slice("c", F.lit(1), F.col("n")).alias("p"), *[v.alias(k) for k, v in rest.items()])
+    return cut.select(
         "pair_id",
-        "chunk",
-        F.size("prompt").cast("long").alias("n_prompt_turns"),
-        F.array_join(F.transform("prompt", lambda t: _rendered(t["chosen"])), "").alias("prompt"),
-        *[F.array_join(F.transform(s, _rendered), "").alias(s) for s in sides],
-        *[_mask(F.col(s)).alias(f"{s}_mask") for s in sides],
+        "n_prompt_turns",
+        _rendered(F.col("p")).alias("prompt"),
+        _rendered(F.col("c")).alias("chosen"),
+        _rendered(F.col("r")).alias("rejected"),
+        _mask(F.col("c")).alias("chosen_mask"),
+        _mask(F.col("r")).alias("rejected_mask"),
     )
 
 
@@ -82,26 +81,26 @@ def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _side(name: str, odd: int) -> str:
     """Completion and mask of one side, in SQL."""
-    return f"""{name} AS (SELECT pair_id, chunk, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS body,
-  string_agg((past - length(text) - 1)::BIGINT || '-' || past::BIGINT, ',' ORDER BY turn) FILTER (role = 'assistant') AS mask
-  FROM (SELECT *, sum(length(role) + length(text) + 6) OVER (PARTITION BY pair_id, chunk ORDER BY turn) AS past FROM (
-  SELECT t.*, t.turn // 64 AS chunk FROM t JOIN cut USING (pair_id) WHERE odd = {odd} AND t.turn >= coalesce(cut.cut, t.turn + 1))) GROUP BY 1, 2)"""
+    return f"""{name} AS (SELECT pair_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) AS body,
+  string_agg((past - length(text) - 1)::BIGINT || '-' || past::BIGINT, ',' ORDER BY i) FILTER (role = 'assistant') AS mask
+  FROM (SELECT *, sum(length(role) + length(text) + 6) OVER (PARTITION BY pair_id ORDER BY i) AS past FROM (
+  SELECT t.* FROM t JOIN cut USING (pair_id) WHERE odd = {odd} AND i >= coalesce(cut.cut, i + 1))) GROUP BY 1)"""
 
 
 SQL = {
     "op9_preference_formatting": f"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS odd, turn, (min({{'r': coalesce(role, 'unknown'), 't': coalesce(text, '')}})).r AS role,
-  (min({{'r': coalesce(role, 'unknown'), 't': coalesce(text, '')}})).t AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2, 3),
+WITH s AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS odd, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, odd ORDER BY turn, role, text) AS i FROM s),
 two AS (SELECT pair_id FROM t GROUP BY 1 HAVING count(DISTINCT odd) = 2),
-same AS (SELECT a.pair_id, a.turn FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.turn = b.turn AND a.odd = 0 AND b.odd = 1 AND a.role = b.role AND a.text = b.text),
-cut AS (SELECT pair_id, min(turn) FILTER (NOT EXISTS (SELECT 1 FROM same WHERE same.pair_id = t.pair_id AND same.turn = t.turn)) AS cut FROM t WHERE pair_id IN (SELECT pair_id FROM two) GROUP BY 1),
+same AS (SELECT a.pair_id, a.i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i AND a.odd = 0 AND b.odd = 1 AND a.turn = b.turn AND a.role = b.role AND a.text = b.text),
+cut AS (SELECT pair_id, min(i) FILTER (NOT EXISTS (SELECT 1 FROM same WHERE same.pair_id = t.pair_id AND same.i = t.i)) AS cut FROM t WHERE pair_id IN (SELECT pair_id FROM two) GROUP BY 1),
 {_side("c", 0)},
 {_side("r", 1)},
-p AS (SELECT t.pair_id, turn // 64 AS chunk, count(*) AS n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS body
-  FROM t JOIN cut USING (pair_id) WHERE odd = 0 AND turn < coalesce(cut.cut, turn + 1) GROUP BY 1, 2),
-k AS (SELECT DISTINCT pair_id, turn // 64 AS chunk FROM t WHERE pair_id IN (SELECT pair_id FROM two))
-SELECT k.pair_id, k.chunk, coalesce(p.n, 0)::BIGINT AS n_prompt_turns, coalesce(p.body, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected,
+p AS (SELECT t.pair_id, count(*) AS n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) AS body
+  FROM t JOIN cut USING (pair_id) WHERE odd = 0 AND i < coalesce(cut.cut, i + 1) GROUP BY 1)
+SELECT pair_id, coalesce(p.n, 0)::BIGINT AS n_prompt_turns, coalesce(p.body, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected,
   coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
-FROM k LEFT JOIN p USING (pair_id, chunk) LEFT JOIN c USING (pair_id, chunk) LEFT JOIN r USING (pair_id, chunk)
+FROM two LEFT JOIN p USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN r USING (pair_id)
 """
 }

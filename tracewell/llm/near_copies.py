@@ -1,45 +1,25 @@
-"""Near copies: documents whose sets of word shingles are similar.
+"""Sets of word shingles, compared exactly.
 
-Equal sets are one node from the start.  Candidates come from bands of MinHash
-values; only nodes that share a band with another take their set along, and in
-a band two sets are linked once their exact Jaccard similarity is at least the
-threshold, as a spanning forest: n near copies give n - 1 links there.  Two sets
-at the threshold share a band with probability 0.998, so every link is verified
-and few are missed.
+Two sets are linked once their Jaccard similarity is at least the threshold; of
+a bucket of sets the links are a spanning forest, so n near copies give n - 1.
 
-Defined results: words are split and lower-cased as for fingerprints; a text
-without words has an empty set, like a null one; fewer words than a shingle are
-one shingle; shingles are compared by 64-bit hashes.
+Which sets meet in a bucket is the caller's matter.  Bands of MinHash values
+complete the buckets of fuzzy fingerprint keys: two sets at the threshold share
+a band with probability 0.998.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tracewell.llm.components import components
-from tracewell.llm.workspace import Workspace
 
-WIDTH, SIMILARITY = 5, 0.8
+SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 _RNG = np.random.default_rng(23)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles_of(text: str, width: int = WIDTH) -> np.ndarray:
-    """The sorted different hashes of the word shingles of one text."""
-    words = text.encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    last = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.array([digest(b" ".join(words[k : k + width]), 42) for k in range(last)], np.uint64))
-
-
 def bands_of(shingles: np.ndarray) -> np.ndarray:
     """A key for each band."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -71,49 +51,3 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILA
             reached.extend(rest[near])
             rest = rest[~near]
     return np.concatenate(left), np.concatenate(right)
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its id, text_hash and the root of its component."""
-    work = Workspace(docs.sparkSession, "near-copies")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sets = [shingles_of(t.as_py() or "") for t in batch.column(2)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                bands = pa.array([bands_of(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                columns = [batch.column(0), batch.column(1), pa.array(node), bands, pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "node", "bands", "shingles"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    printed = work.save(source.mapInArrow(shingled, f"id {kind}, text_hash long, node long, bands array<long>, shingles binary"), "printed")
-    keyed = printed.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = work.save(keyed.join(shared, "key"), "met")
-    sets = printed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, held = None, [], []
-
-        def links() -> pa.RecordBatch:
-            a, b = forest(np.array(nodes, np.int64), held)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for at, node, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if at != key:
-                    if len(nodes) > 1:
-                        yield links()
-                    key, nodes, held = at, [], []
-                nodes.append(node)
-                held.append(np.frombuffer(body, np.uint64))
-        if len(nodes) > 1:
-            yield links()
-
-    dealt = met.join(sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
-    roots = components(dealt.mapInArrow(linked, "a long, b long"), work)
-    rooted = printed.select("id", "text_hash", "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    return rooted.select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "node").alias("root"))

@@ -14,18 +14,28 @@ keys find every pair:
 
 Equal fingerprints are one node from the start, so copies are never paired.
 Within a key, fingerprints are checked bit by bit and joined to a spanning
-forest: a group of n near copies gives n - 1 links there, not n squared.
+forest: a group of n near copies gives n - 1 links there, not n squared.  A key
+of more than :data:`LARGE` fingerprints is not read as a whole: its rows are
+dealt again by the key and a quarter of the fingerprint, since two within three
+bits are equal in one of four quarters.
+
+:func:`similar_documents` verifies each link by the similarity of the sets of
+shingles.  Three bits of five-word fingerprints hold only the nearest of the
+pairs at similarity 0.8, whose expected distance is ten bits, and more bits than
+three would take some thousand fuzzy keys a document.  So there the keys'
+components are buckets beside those of MinHash bands, and both are verified.
 
 Defined results: a null text has no words, and texts without words share the
 fingerprint zero and are linked; fewer words than a shingle are one shingle;
 rows with a null id belong to their component but never name it unless it has
-no other id; repeated rows get the same result each.
+no other id; repeated rows get the same result each; a very long text is hashed
+part by part; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import groupby, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +45,47 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import golay
 from tracewell.llm.components import components
-from tracewell.llm.near_copies import near_copies
-from tracewell.llm.workspace import Workspace
+from tracewell.llm.near_copies import bands_of, forest
+from tracewell.llm.workspace import Workspace, own_name
 
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 3
-#: A key with more fingerprints is cut by equal quarters of the fingerprint first.
+#: A key with more fingerprints is dealt again by equal quarters of the fingerprint.
 LARGE = 2048
+#: Words of a shingle where similarity is verified, and shingles hashed at once.
+SIMILAR_WIDTH, PART = 5, 1 << 16
+LINK, DEALT_AGAIN = 0, 1
 
 
-def fingerprint_of(text: str, width: int) -> int:
-    """The signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles of a text, repeats included, in parts."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
     last = ends[width - 1 :] - 1 if len(words) >= width else ends[-1:] - 1
     digest = xxhash.xxh64_intdigest
-    set_bits, shingles = np.zeros(64, np.int64), len(last)
-    for at in range(0, shingles, 1 << 16):
-        part = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist())]  # noqa: B905
-        hashes = np.array(part, np.uint64)
+    for at in range(0, len(last), PART):
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + PART].tolist(), last[at : at + PART].tolist())], np.uint64)  # noqa: B905
+
+
+def _print_of(parts: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    """The signed 64-bit fingerprint of shingle hashes; zero for none."""
+    set_bits, shingles = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        shingles += len(hashes)
         set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > shingles, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(text: str, width: int) -> int:
+    """The signed 64-bit fingerprint of one text."""
+    return _print_of(shingle_hashes(text, width))
+
+
 def fingerprint(text: Column, width: int = 3) -> Column:
     """The fingerprint of ``text`` as a long."""
 
@@ -100,22 +123,6 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def spanning_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within :data:`DISTANCE` that join what such links join at all."""
-    if len(prints) > LARGE:
-        # two within three bits are equal in one of four quarters
-        found = []
-        for quarter in range(4):
-            part = prints.view(np.uint16).reshape(-1, 4)[:, quarter]
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            found += [_forest(prints[group]) for group in np.split(order, cuts) if len(group) > 1]
-    else:
-        found = [_forest(prints)]
-    left, right = zip(*found, strict=True) if found else ([np.empty(0, np.int64)],) * 2
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left, right, rest = [], [], prints
     while len(rest):
@@ -132,8 +139,8 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of distinct fingerprints."""
+def near_links(prints: DataFrame, work: Workspace) -> DataFrame:
+    """Links (a, b) that span the components of distinct fingerprints (print)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,34 +149,63 @@ def near_links(prints: DataFrame) -> DataFrame:
                 keys, owners = fuzzy_keys(values[at : at + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096][owners])], ["key", "print"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            keys, values = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([values, batch.column(1).to_numpy()])
-            whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on
-            if whole:
-                yield _links_of(keys[:whole], values[:whole])
-                keys, values = keys[whole:], values[whole:]
-        if len(keys):
-            yield _links_of(keys, values)
+    def linked(most: int | None):
+        return lambda batches: _linked(batches, most)
 
+    schema = "kind int, a long, b long"
     found = prints.select("print").mapInArrow(keyed, "key long, print long")
-    sorted_keys = found.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(linked, "a long, b long").distinct()
-
-
-def _links_of(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    met = work.save(found.repartition("key").sortWithinPartitions("key").mapInArrow(linked(LARGE), schema), "met")
+    again = met.filter(F.col("kind") == DEALT_AGAIN)
+    quarters = [F.xxhash64("a", F.lit(k), F.shiftrightunsigned("b", 16 * k).bitwiseAND(0xFFFF)) for k in range(4)]
+    dealt = again.select(F.explode(F.array(*quarters)).alias("key"), F.col("b").alias("print"))
+    more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(linked(None), schema)
+    return met.filter(F.col("kind") == LINK).unionAll(more).select("a", "b").distinct()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Links within the keys of sorted rows (key, print); the rows of a key with
+    more than ``most`` are handed on, and not held."""
+    keys, values, over = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for batch in batches:
+        new, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if over is not None:
+            same = int(np.searchsorted(new, over, side="right"))
+            yield _rows(DEALT_AGAIN, new[:same], prints[:same])
+            new, prints = new[same:], prints[same:]
+        if not len(new):
+            continue
+        over = None
+        keys, values = np.concatenate([keys, new]), np.concatenate([values, prints])
+        whole = np.searchsorted(keys, keys[-1])  # the last key may go on
+        if whole:
+            yield from _links_of(keys[:whole], values[:whole], most)
+            keys, values = keys[whole:], values[whole:]
+        if most is not None and len(keys) > most:
+            yield _rows(DEALT_AGAIN, keys, values)
+            over, keys, values = keys[-1], keys[:0], values[:0]
+    if len(keys):
+        yield from _links_of(keys, values, most)
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+
+def _links_of(keys: np.ndarray, values: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
     sizes = np.diff(cuts)
     two = cuts[:-1][sizes == 2]
     near = np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)) <= DISTANCE
     left, right = [values[two][near]], [values[two + 1][near]]
     for k in np.flatnonzero(sizes > 2):
-        a, b = spanning_links(np.unique(values[cuts[k] : cuts[k + 1]]))
+        if most is not None and sizes[k] > most:
+            yield _rows(DEALT_AGAIN, keys[cuts[k] : cuts[k + 1]], values[cuts[k] : cuts[k + 1]])
+            continue
+        a, b = _forest(np.unique(values[cuts[k] : cuts[k + 1]]))
         left.append(a)
         right.append(b)
     a, b = np.concatenate(left), np.concatenate(right)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    yield _rows(LINK, np.minimum(a, b), np.maximum(a, b))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -178,13 +214,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     printed = docs.select(F.col(id_col), fingerprint(F.col(text_col), width).alias("fingerprint"))
     printed = work.save(printed, "prints")
     nodes = work.save(printed.groupBy(F.col("fingerprint").alias("print")).agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(near_links(nodes), work)
+    roots = components(near_links(nodes, work), work)
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root").select(F.col("print").alias("fingerprint"), "component_id")
     return printed.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH) -> DataFrame:
+    """A row for each document: its id, text_hash and the root of its component
+    of documents whose shingles are similar (0.8 or more).
+
+    Texts of the same shingles are one node; a text without words has none.
+    """
+    work = Workspace(docs.sparkSession, "similar")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                prints, sets = [], []
+                for text in batch.column(2):
+                    parts = list(shingle_hashes(text.as_py() or "", width))
+                    prints.append(_print_of(parts))
+                    sets.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                bands = pa.array([bands_of(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+                columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(prints, pa.int64()), bands, pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "node", "print", "bands", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    printed = work.save(source.mapInArrow(shingled, f"id {kind}, text_hash long, node long, print long, bands array<long>, shingles binary"), "printed")
+    prints = printed.select("print").distinct()
+    fuzzy = components(near_links(prints, work), Workspace(docs.sparkSession, "similar-prints")).select(F.col("node").alias("print"), "root")
+    of_print = printed.select("node", "print").distinct().join(fuzzy, "print", "left").select("node", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
+    keyed = printed.select("node", F.explode("bands").alias("key")).unionAll(of_print).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = work.save(keyed.join(shared, "key"), "met-sets")
+    sets = printed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = met.join(sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    roots = components(dealt.mapInArrow(_alike, "a long, b long"), work).withColumnRenamed("node", "_node")
+    rooted = printed.select("id", "text_hash", "node").join(roots, F.col("node") == F.col("_node"), "left")
+    return rooted.select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links within the keys of sorted rows (key, node, shingles)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+    for _, bucket in groupby(rows, lambda row: row[0]):
+        nodes, sets = zip(*((node, np.frombuffer(body, np.uint64)) for _, node, body in bucket), strict=True)
+        if len(nodes) > 1:
+            a, b = forest(np.array(nodes, np.int64), list(sets))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -198,8 +282,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows alike in id and text are one document; which of them stays is open.
     """
+    named = own_name(docs, "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
-    kept = near_copies(docs).groupBy("root").agg(first).select(F.col("first.id").alias("_tw_id"), F.col("first.hash").alias("_tw_kept")).distinct()
-    keyed = docs.withColumn("_tw_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(kept["_tw_id"]) & (keyed["_tw_hash"] == kept["_tw_kept"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_tw_hash"]).drop("_tw_hash")
+    kept = similar_documents(docs).groupBy("root").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.hash").alias("kept_hash")).distinct().alias("kept")
+    keyed = docs.withColumn(named, F.xxhash64("text")).alias("all")
+    same = F.col("all.doc_id").eqNullSafe(F.col("kept.kept_id")) & (F.col(f"all.{named}") == F.col("kept.kept_hash"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", named]).drop(named)

@@ -82,3 +82,36 @@ def broadcast_if_small(table: DataFrame, width: str = "1", bytes_each: int = 16,
     """
     total = table.agg(F.sum(F.expr(width).cast("long")).alias("n")).first()["n"] or 0
     return F.broadcast(table) if total * bytes_each <= limit else table.hint("merge")
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is written in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class Aside:
+    """The columns of ``docs`` set aside as ``_0``, ``_1`` and so on, so that no
+    name of theirs meets one of a plan's own.
+
+    Columns named like a result (in any case) are left out.
+    """
+
+    def __init__(self, docs: DataFrame, *results: str):
+        lowered = {r.lower() for r in results}
+        kept = [c for c in docs.columns if c.lower() not in lowered]
+        self.docs = docs.select(*[F.col(quoted(c)).alias(f"_{k}") for k, c in enumerate(kept)])
+        self.own = [f"_{k}" for k in range(len(kept))]
+        self.back = [F.col(f"_{k}").alias(c) for k, c in enumerate(kept)]
+        self._place = {c.lower(): f"_{k}" for k, c in enumerate(kept)}
+
+    def __call__(self, name: str) -> str:
+        """The name under which a column is set aside."""
+        return self._place[name.lower()]

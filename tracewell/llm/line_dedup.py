@@ -13,7 +13,9 @@ than a few rows from each task, however common its line is.
 Defined results: a null or empty text is one empty line; a line whose key is
 shorter than ``min_chars`` never goes; null ids are one document, after all
 others; rows alike in id and text get the same bitmap; rows that repeat an id
-count once in ``min_docs``.
+count once in ``min_docs``; the lines of a very long text are hashed in lots of
+bounded size, its bitmap is a bit for each; columns named like a result are
+replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
 
 #: Lines that a task looks over at once.
 BUFFER_LINES = 200_000
@@ -224,14 +226,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with n_lines, n_dropped, keep (the bitmap, null: all stay) and
     kept_text."""
     work = Workspace(docs.sparkSession, "lines")
-    bitmaps = work.save(keep_bitmaps(docs, id_col, text_col, **limits), "bitmaps")
-    plain = docs.drop("n_lines", "n_dropped", "keep", "kept_text")
-    joined = plain.withColumn("_tw_row", F.xxhash64(id_col, text_col)).join(
+    aside = Aside(docs, "n_lines", "n_dropped", "keep", "kept_text")
+    id_col, text_col = aside(id_col), aside(text_col)
+    bitmaps = work.save(keep_bitmaps(aside.docs, id_col, text_col, **limits), "bitmaps")
+    joined = aside.docs.withColumn("_tw_row", F.xxhash64(id_col, text_col)).join(
         broadcast_if_small(bitmaps.withColumnRenamed("row", "_tw_row"), "length(keep) + 48", 1), "_tw_row", "left"
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     return joined.select(
-        *[f"`{c}`" for c in plain.columns],
+        *aside.back,
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         "keep",
@@ -247,8 +250,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the lines that go."""
-    found = line_dedup(docs)
-    return found.select(*[F.col("kept_text").alias("text") if c == "text" else f"`{c}`" for c in docs.columns])
+    aside = Aside(docs)
+    found = line_dedup(aside.docs, aside("doc_id"), aside("text"))
+    return found.withColumn(aside("text"), F.col("kept_text")).select(*aside.back)
 
 
 SQL = {

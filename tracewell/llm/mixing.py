@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts that each of four sections cuts the exponent's interval into.
@@ -72,7 +72,8 @@ def mixture(
 ) -> DataFrame:
     """``docs`` with n_tokens, weight, target_tokens (of the source) and copies."""
     work = Workspace(docs.sparkSession, "mixing")
-    plain = docs.drop("n_tokens", "weight", "target_tokens", "copies")
+    aside = Aside(docs, "n_tokens", "weight", "target_tokens", "copies")
+    plain, id_col, text_col, source_col = aside.docs, *map(aside, (id_col, text_col, source_col))
     source = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     counted = plain.withColumns(
         {
@@ -85,7 +86,7 @@ def mixture(
     sources = work.save(narrow.groupBy("_tw_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     total = sources.agg(F.sum("tokens"), F.max("tokens")).first()
     if total[0] is None:
-        return counted.select(*plain.columns, "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("target_tokens"), F.lit(0).cast("long").alias("copies"))
+        return counted.select(*aside.back, "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("target_tokens"), F.lit(0).cast("long").alias("copies"))
     a = exponent(sources, max_repetition, target_entropy)
     powers = sources.withColumn("_tw_power", F.pow(F.col("tokens") / F.lit(float(total[1])), F.lit(a)))
     norm = powers.agg(F.sum("_tw_power")).first()[0]
@@ -126,7 +127,7 @@ def mixture(
     marked = counted.join(planned, "_tw_source").withColumn("_tw_block", block).join(taken, ["_tw_source", "_tw_block"], "left")
     more = F.col("_tw_whole") | (F.struct("_tw_order", "n_tokens") <= F.col("_tw_edge"))
     copies = F.col("_tw_passes") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return marked.select(*[f"`{c}`" for c in plain.columns], "n_tokens", "weight", "target_tokens", copies.cast("long").alias("copies"))
+    return marked.select(*aside.back, "n_tokens", "weight", "target_tokens", copies.cast("long").alias("copies"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +138,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mixture has it."""
-    mixed = mixture(docs)
-    repeated = mixed.filter("copies > 0").withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[f"`{c}`" for c in docs.columns])
+    aside = Aside(docs)
+    mixed = mixture(aside.docs, aside("doc_id"), aside("text"), aside("source"))
+    repeated = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*aside.back)
 
 
 def _section(k: int) -> str:

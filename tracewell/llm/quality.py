@@ -11,7 +11,10 @@ words left is depleted and rejected, as is one that fails the base rules.
 
 Defined results: a null text is an empty one; a null host is a host of its
 own; every row is a document, so repeated rows count each; rows with a null id
-rank after all others; an empty table gives an empty table.
+rank after all others, and if all rows of a line have a null id all keep it;
+rows alike in id and text get the same verdict; texts are measured whole, a very
+long one as one row; columns named like a result are replaced; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,9 +50,9 @@ def row_key(id_col: Column, text: Column) -> Column:
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and
     n_repeat_words (all long), each over the whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [f"`{c}`" for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    split = docs.select(*own, F.array_remove(F.split(text, SPACE, -1), "").alias("_tw_words"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("_tw_lines"))
+    aside = Aside(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    text, own = F.coalesce(F.col(aside(text_col)), F.lit("")), aside.own
+    split = aside.docs.select(*own, F.array_remove(F.split(text, SPACE, -1), "").alias("_tw_words"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("_tw_lines"))
     hashed = split.withColumn(
         "_tw_grams",
         F.transform(
@@ -92,7 +95,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     # a generator of one row: filters on the measures stay above it, so that
     # the optimizer doesn't copy their expressions into each other
-    return repeats.select(*own, F.inline(F.array(measures)))
+    return repeats.select(*own, F.inline(F.array(measures))).select(*aside.back, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -125,9 +128,12 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     )
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_limit: int) -> DataFrame:
-    """For each row that loses lines: the keys of those lines and their words."""
-    lines = line_rows(docs, id_col, text_col, host_col)
+def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_limit: int, work: Workspace) -> DataFrame:
+    """For each row that loses lines: the keys of those lines and their words.
+
+    Lines are hashed once; both reads are of the saved hashes.
+    """
+    lines = work.save(line_rows(docs, id_col, text_col, host_col), "lines")
     limits = (
         lines.groupBy("_tw_key")
         .agg(F.sum("_tw_first").alias("_tw_docs"), F.min("_tw_id").alias("_tw_keeper"))
@@ -160,9 +166,12 @@ def quality_rules(
     Columns of ``docs`` by one of these names are replaced.
     """
     work = Workspace(docs.sparkSession, "quality")
-    lost = work.save(frequent_lines(docs, id_col, text_col, host_col, line_limit), "lost")
     added = ("n_kept_words", "base_failed", "kept", "clean_text")
-    measured = base_measures(docs.drop(*added), text_col)
+    aside = Aside(docs, *added, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    id_col, text_col, host_col = map(aside, (id_col, text_col, host_col))
+    lost = work.save(frequent_lines(aside.docs, id_col, text_col, host_col, line_limit, work), "lost")
+    work.drop("lines")
+    measured = base_measures(aside.docs, text_col)
     joined = measured.withColumn("_tw_row", row_key(F.col(id_col), F.col(text_col))).join(
         broadcast_if_small(lost, "size(_tw_keys) + 6", 8), "_tw_row", "left"
     )
@@ -175,7 +184,8 @@ def quality_rules(
         )
     )
     return joined.select(
-        *[f"`{c}`" for c in measured.columns],
+        *aside.back,
+        *measured.columns[len(aside.own) :],
         kept_words.alias("n_kept_words"),
         failed.alias("base_failed"),
         (~failed & (100 * kept_words >= min_kept_pct * F.col("n_words"))).alias("kept"),
@@ -191,8 +201,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, the others lose their frequent lines."""
-    judged = quality_rules(docs.select("*", F.col("text").alias("_tw_text")), text_col="text")
-    return judged.filter("kept").select(*[F.col("clean_text").alias("text") if c == "text" else f"`{c}`" for c in docs.columns])
+    aside = Aside(docs)
+    judged = quality_rules(aside.docs, aside("doc_id"), aside("text"), aside("source")).filter("kept")
+    return judged.withColumn(aside("text"), F.col("clean_text")).select(*aside.back)
 
 
 SQL = {

@@ -1,8 +1,9 @@
 """Token counts: lengths only, encoded in batches of bounded size.
 
 Defined results: a null text has no bytes and no tokens; special strings in a
-text count as the library's default has them; repeated rows count each; other
-columns stay, but those named like a result are replaced.
+text count as the library's default has them; repeated rows count each; a very
+long text is cut at safe spaces and counted in parts; other columns stay, but
+those named like a result are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.pieces import TokenCounter, by_size, shared
+from tracewell.llm.workspace import Aside
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:
@@ -36,9 +38,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: st
     There is no shuffle: rows are counted where they are read, and the bytes
     encoded at once are bounded whatever the rows hold.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.drop("n_bytes", "n_tokens", "over_limit").withColumn("n_tokens", n_tokens(text, tokenizer))
-    return counted.withColumns({"n_bytes": F.octet_length(text).cast("long"), "over_limit": F.col("n_tokens") > limit})
+    aside = Aside(docs, "n_bytes", "n_tokens", "over_limit")
+    text = F.coalesce(F.col(aside(text_col)), F.lit(""))
+    counted = aside.docs.withColumn("n_tokens", n_tokens(text, tokenizer))
+    return counted.select(*aside.back, "n_tokens", F.octet_length(text).cast("long").alias("n_bytes"), (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,20 @@ found where it stands bare.  A group of equal words is linked occurrence to
 occurrence, never pair by pair.
 
 The weights are trained by pseudo-likelihood, under a prior that repeats agree
-(samples hold few of them), on a sample of at most
-``sample_docs`` documents that hold candidates, labelled by the base patterns.
+(samples hold few of them), on a bounded sample, labelled by the base patterns:
+of the documents with a candidate and at most ``sample_chars`` characters, the
+``sample_docs`` whose texts have the least hashes.
 Words that the patterns leave but that share a skip link with a word they label
 count as unlabelled.  The field adds spans and never takes a base span away.
 
+Messages pass until they settle, so a label reaches every repeat of its word.
+
 Defined results: a null text is an empty one without spans; repeated rows get
-the same result each; with no candidate in the table there is no field, and
-base spans remain; columns named like a result are replaced.
+the same result each; texts of one hash are one in the sample; with no candidate
+in the table there is no field, and base spans remain; every text is searched
+whole, and texts are taken together up to a number of characters, so a very long
+one is taken by itself; columns named like a result are replaced; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,10 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.pieces import by_size
+from tracewell.llm.workspace import Aside
+
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is trained on, at most.
-SAMPLE_DOCS = 400
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.6
+#: Documents that the field is trained on, at most, and their length, at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Change of any message below which all have settled; rounds after which those
+#: that swing are taken as they stand.
+SETTLED, ROUNDS, DAMPING, SURE = 1e-4, 1000, 0.3, 0.6
+#: Characters of texts that are searched together.
+BATCH_CHARS = 2_000_000
 #: Where the weights of equal labels over a skip link are drawn to: repeats agree.
 AGREE = 6.0
 
@@ -245,9 +258,12 @@ class SkipChain:
             top = joint.max(1, keepdims=True)
             new = np.log(np.exp(joint - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
+            new = DAMPING * messages + (1 - DAMPING) * new
+            moved, messages = np.abs(new - messages).max(), new
             belief = unary.copy()
             np.add.at(belief, target, messages)
+            if moved < SETTLED:
+                break
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -288,13 +304,15 @@ def _said(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:])))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> SkipChain | None:
-    """A field trained on the first ``sample_docs`` documents with a candidate.
+def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> SkipChain | None:
+    """A field trained on a sample that doesn't depend on the order of rows.
 
-    A limit reads no further than it must, and no task sends more rows than it.
+    No task sends more rows than the sample has.
     """
-    texts = docs.filter(F.col(text_col).rlike("[0-9@]")).select(text_col)
-    return SkipChain.trained([r[0] for r in texts.limit(sample_docs).collect()])
+    fit = F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= sample_chars)
+    texts = docs.filter(fit).select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    sample = {r["hash"]: r["text"] for r in texts.orderBy("hash").limit(sample_docs).collect()}
+    return SkipChain.trained(list(sample.values()))
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -303,15 +321,15 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", sample_docs: int
     Spans are ``kind:start:end`` in code points, end exclusive, joined by commas.
     """
     results = [f"n_{k}" for k in KINDS] + ["base_spans", "spans"]
-    docs = docs.drop(*results)
+    aside = Aside(docs, *results)
+    docs, text_col, names = aside.docs, aside(text_col), aside.own
     field = train(docs, text_col, sample_docs)
-    names = docs.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [t.as_py() or "" for t in batch.column(names.index(text_col))]
+            done = 0
+            for texts in by_size((t.as_py() or "" for t in whole.column(names.index(text_col))), BATCH_CHARS):
+                batch, done = whole.slice(done, len(texts)), done + len(texts)
                 bases = [base_spans(t) for t in texts]
                 more = field.added(texts, bases) if field else [[] for _ in texts]
                 counts = [pa.array([sum(s[0] == k for s in b) for b in bases], pa.int64()) for k in KINDS]
@@ -320,7 +338,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", sample_docs: int
 
     added = [T.StructField(name, T.LongType() if name.startswith("n_") else T.StringType()) for name in results]
     schema = T.StructType([*docs.schema.fields, *added])
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(search, schema).select(*aside.back, *results)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -70,6 +71,8 @@ def test_links_across_saturated_groups(spark):
     got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(map(tuple, got)) == [(k, 39, 0, k == 0) for k in range(40)]
 
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 @pytest.mark.parametrize("count", [10_000, 150_000, 3_000_000, 300_000_000])
 def test_pairs_at_the_threshold_meet_at_any_size(count):
@@ -120,25 +123,54 @@ def test_preference(spark):
         (None, False, 0, "user", "x"), (5, None, 0, "user", "x"), (5, True, None, "user", "x"),
         (6, False, 0, "user", "b"), (6, False, 0, "user", "a"), (6, True, 0, "user", "a"),
     ]
-    table = spark.createDataFrame(rows, "pair_id long, rejected boolean, turn long, role string, text string").withColumn("chosen", F.lit("extra")).withColumn("chunk", F.lit(9))
-    got = {(r.pair_id, r.chunk): r for r in preference.preference_pairs(table).collect()}
-    assert set(got) == {(1, 0), (3, 0), (4, 0), (4, 1), (6, 0)}
-    one = got[1, 0]
-    assert one.prompt == rendered([("system", "be kind"), ("user", "hi")]) and one.n_prompt_turns == 2
-    assert one.chosen == rendered([("assistant", "hello")]) and trained(one.chosen, one.chosen_mask) == ["hello\n"]
-    assert trained(one.rejected, one.rejected_mask) == ["go away\n", "so\n"]
-    assert got[3, 0].prompt == rendered([("user", "same")]) and got[3, 0].chosen == got[3, 0].rejected == ""
-    assert got[4, 0].chosen == rendered([("unknown", "")]) and got[4, 0].prompt == ""
-    assert trained(got[4, 1].chosen, got[4, 1].chosen_mask) == ["late é\n"]
-    assert got[6, 0].prompt == rendered([("user", "a")])
+    table = spark.createDataFrame(rows, "pair_id long, rejected boolean, turn long, role string, text string").withColumn("chosen", F.lit("extra")).withColumn("PROMPT", F.lit(9))
+    got = {r.pair_id: r for r in preference.preference_pairs(table).collect()}
+    assert set(got) == {1, 3, 4, 6}
+    assert got[1].prompt == rendered([("system", "be kind"), ("user", "hi")]) and got[1].n_prompt_turns == 2
+    assert got[1].chosen == rendered([("assistant", "hello")]) and trained(got[1].chosen, got[1].chosen_mask) == ["hello\n"]
+    assert trained(got[1].rejected, got[1].rejected_mask) == ["go away\n", "so\n"]
+    assert got[3].prompt == rendered([("user", "same")]) and got[3].chosen == got[3].rejected == ""
+    assert got[4].chosen == rendered([("unknown", ""), ("assistant", "late é")]) and got[4].prompt == ""
+    assert trained(got[4].chosen, got[4].chosen_mask) == ["late é\n"]
+    assert got[6].prompt == rendered([("user", "a")]) and got[6].chosen == rendered([("user", "b")])
     assert preference.preference_pairs(table.limit(0)).collect() == []
 
 
+def test_preference_of_long_conversations_and_texts(spark):
+    say = lambda k: ("assistant" if k % 2 else "user", f"turn {k} " + "é" * (200_000 if k == 7 else k))
+    shared = [say(k) for k in range(130)]
+    sides = {False: [*shared, ("assistant", "yes")], True: [*shared, ("assistant", "no"), ("user", "?"), ("assistant", "no!")]}
+    rows = [(9, side, k, *turn) for side, turns in sides.items() for k, turn in enumerate(turns)]
+    (got,) = preference.preference_pairs(spark.createDataFrame(rows, "pair_id long, rejected boolean, turn int, role string, text string").repartition(7)).collect()
+    assert got.n_prompt_turns == 130 and got.prompt == rendered(shared)
+    assert got.chosen == rendered(sides[False][130:]) and got.rejected == rendered(sides[True][130:])
+    assert trained(got.chosen, got.chosen_mask) == ["yes\n"] and trained(got.rejected, got.rejected_mask) == ["no\n", "no!\n"]
+
+
 @pytest.fixture(scope="module")
 def raw(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+def similar_by_hand(rows) -> list[int]:
+    """The least id of each group of rows whose five-word shingles are similar."""
+    def shingles(text):
+        words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4) if words else 0))
+
+    sets = {doc: shingles(text) for doc, text in rows}
+    left, found = sorted(sets), []
+    while left:
+        group, rest = [left[0]], left[1:]
+        for doc in group:
+            near = [d for d in rest if sets[d] == sets[doc] or len(sets[d] & sets[doc]) >= 0.8 * len(sets[d] | sets[doc])]
+            group += near
+            rest = [d for d in rest if d not in near]
+        found.append(min(group))
+        left = rest
+    return sorted(found)
+
+
 def test_pipeline(spark, raw):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
@@ -149,8 +181,7 @@ def test_pipeline(spark, raw):
             assert after.dtypes == docs.dtypes
         if name == "near-duplicates":
             ids = [r.doc_id for r in after.select("doc_id").collect()]
-            found = simhash.near_duplicates(docs).collect()
-            assert sorted(ids) == sorted({r.component_id for r in found})
+            assert sorted(ids) == similar_by_hand([(r.doc_id, r.text) for r in docs.collect()])
         sizes.append(after.count())
         docs = after
     assert sizes[0] < raw.count() and sizes[3] >= sizes[2] and sizes[4] >= sizes[3]
@@ -158,11 +189,31 @@ def test_pipeline(spark, raw):
 
 
 def test_stages_handle_awkward_rows(spark):
-    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 200, "en", None, 1), (3, " ".join(f"w{k}" for k in range(300)), "en", "a", 1), (4, " ".join(f"w{k}" for k in range(300)), None, "b", 1)]
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 200, "en", None, 1), (3, long, "en", "a", 1), (4, long, None, "b", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, table.withColumn("kept", F.lit("x")), "").collect() is not None
+    table = spark.createDataFrame(rows, schema).withColumn("KEPT", F.lit("x")).withColumn("_tw_row", F.lit("y"))
+    want = {
+        "quality rules": rows[4:],
+        "line dedup": [(None, "", None, None, None), *rows[1:]],
+        "near-duplicates": [rows[1], rows[3], rows[4]],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, "").collect()
+        assert stage(spark, table.limit(0), "").collect() == []
+        if name in want:
+            assert Counter(map(tuple, got)) == Counter((*row, "x", "y") for row in want[name])
+        elif name == "source mixing":
+            # every row once at least, and a source no more than the largest is long
+            counts, words = Counter(map(tuple, got)), {row: len((row[1] or "").split()) + 1 for row in rows}
+            assert set(counts) == {(*row, "x", "y") for row in rows}
+            used = Counter()
+            for row, n in counts.items():
+                used[row[3]] += n * words[row[:5]]
+            assert max(used.values()) <= 303
+        else:
+            assert Counter(r.doc_id for r in got) == Counter(row[0] for row in rows)
+            assert {r.doc_id: r.length for r in got}[None] == 1 and len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 2048)
 
 
 def test_stage_takes_near_copies_and_no_others(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,36 @@ def test_html_is_linear():
     assert C.strip_html(page) == (page, [])
 
 
+@pytest.mark.parametrize("shape", ["<!--", "<a ", '<a x="', '<a x=">"', "<a x='>\"", "<p hidden don't>", "%41%42%43%44%45%46 ", "x%41%42%43%44%45%46", "<!-- --", "<a<a", "<style><i "])
+def test_hostile_text_is_linear(shape):
+    began = time.perf_counter()
+    C.sanitize_text(shape * (400_000 // len(shape)))
+    C.sanitize_text(shape * (400_000 // len(shape)) + ">")
+    assert time.perf_counter() - began < 10
+
+
+def test_attributes_are_read_as_a_browser_does():
+    assert C.strip_html("<p hidden don't>secret</p>shown")[0] == "shown"
+    assert C.strip_html("<p title=\"it's\" hidden>secret</p>shown")[0] == "shown"
+    assert C.strip_html("<p title='never closed hidden>secret</p>shown <b hidden>too</b>end")[0].endswith("end")
+    assert "too" not in C.strip_html("<p title='never closed>x</p>shown <b hidden>too</b>end")[0]
+    assert C.strip_html("a < b, <3 and 1 <a")[0] == "a < b, <3 and 1 <a"
+
+
+def test_colours():
+    odd = ["rgb(nan,0,0)", "rgb(inf,0,0)", "rgb(1e999,1,1)", "rgb(1,2)", "#12345", "rgb(-1,0,0)", "", None, "rgb()"]
+    assert [C.colour(c) for c in odd] == [None] * len(odd)
+    assert [C.colour(c) for c in ("#FFF", "#fff0", "#00000000", "rgb(255, 255 ,255)", "rgba(0,0,0,0)", "rgba(0 0 0 / 0.0)", "rgba(1,2,3,0%)", "Ivory")] == ["#ffffff", "transparent", "transparent", "#ffffff", "transparent", "transparent", "#010203", "#fffff0"]
+    for style in odd:
+        C.sanitize_text(f"<p style='color:{style};background:{style}'>x</p>")
+
+
+def test_comments_in_the_engine(spark):
+    texts = ["a<!--b-->c", "a<!--b", "<!-->x-->y<!--", "-->a<!-- \n-->b-->c<!--d", "<!--" * 20_000, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(C.strip_comments(F.col("t"))).collect()] == [C._without_comments(t)[0] for t in texts]
+
+
 def test_invisible():
     clean, found = C.strip_invisible("a" + chr(0x200B) + chr(0xAD) + "b" + chr(0x202E) + "c" + chr(0x1B) + "[31md")
     assert clean == "abcd"

@@ -77,13 +77,24 @@ COMMENT = r"(?s)<!--(.*?)-->"
 DROP_TAGS = ("script", "style", "meta", "noscript", "template")
 
 
+def _commented(page: Column) -> tuple[Column, Column]:
+    """A page up to its last comment end, and the rest, which holds no comment.
+
+    Every comment that begins in the first part ends there, so a search in it
+    takes time in proportion.
+    """
+    rest = F.substring_index(page, "-->", -1)
+    return F.left(page, F.length(page) - F.length(rest)), rest
+
+
 def strip_comments(page: Column) -> Column:
-    return F.regexp_replace(page, COMMENT, "")
+    head, rest = _commented(page)
+    return F.concat(F.regexp_replace(head, COMMENT, ""), rest)
 
 
 def comments(page: Column) -> Column:
     """Samples of the comments that say something."""
-    bodies = F.regexp_extract_all(page, F.lit(COMMENT), F.lit(1))
+    bodies = F.regexp_extract_all(_commented(page)[0], F.lit(COMMENT), F.lit(1))
     return F.transform(F.filter(bodies, lambda b: b.rlike(r"\S")), lambda b: sample_column(b, 512))
 
 
@@ -183,9 +194,13 @@ def encoded(text: str, depth: int = 0) -> list[Finding]:
         return []
     found: list[Finding] = []
     for kind, pattern in (("base64", _BASE64), ("hex", _HEX), ("percent", _PERCENT)):
+        past, slash = 0, False  # whether the word so far has a slash
         for m in pattern.finditer(text):
-            if kind == "percent" and "/" in re.split(r"\s", text[: m.start()])[-1]:
-                continue
+            if kind == "percent":
+                *before, last = re.split(r"\s", text[past : m.start()])
+                slash, past = "/" in last or (slash and not before), m.end()
+                if slash:
+                    continue
             inner = _decoded(kind, m[0])
             if inner is None:
                 continue
@@ -237,8 +252,11 @@ COLOURS = {
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {b: {"p"} for b in _BLOCKS}
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_ATTRIBUTE = re.compile(r"""\s*([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _MASK = chr(0xE000)
 
 
@@ -252,15 +270,62 @@ class Element:
     end: int = -1
 
 
-def _attributes(text: str, at: int) -> tuple[dict[str, str], dict[str, tuple[int, int]]]:
-    values, spans = {}, {}
-    for m in _ATTRIBUTE.finditer(text):
-        name = m[1].lower()
-        if name not in values:
-            raw = m[2] or ""
-            values[name] = html.unescape(raw[1:-1] if raw[:1] in ("'", '"') else raw)
-            spans[name] = (at + m.start(), at + m.end())
-    return values, spans
+@dataclass
+class _Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: dict[str, str]
+    spans: dict[str, tuple[int, int]]
+
+
+class _Scanner:
+    """Tags of a page from left to right.
+
+    An attribute's name ends at white space, a slash, an equals sign or the
+    tag's end, and its value may be quoted; a quote that is never closed is a
+    character like others.  Once a tag has no end outside of its quotes, tags
+    end at the next ``>`` whatever its quotes say, so a page is read through no
+    more than twice.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+
+    def next(self, at: int) -> _Tag | None:
+        while (m := _TAG.search(self.source, at)) and m.start() < self.last[">"]:
+            if (tag := self._read(m)) is not None:
+                return tag
+            self.quotes = False
+            at = m.start()
+        return None
+
+    def _read(self, m: re.Match[str]) -> _Tag | None:
+        source, at = self.source, m.end()
+        values, spans = {}, {}
+        while True:
+            before = at
+            at = _GAP.match(source, at).end()
+            if at >= len(source):
+                return None
+            if source[at] == ">":
+                return _Tag(m.start(), at + 1, bool(m[1]), m[2].lower(), values, spans)
+            named = _NAME.match(source, at)
+            name, at, value = named[0].lower(), named.end(), ""
+            equals = _EQUALS.match(source, at)
+            if equals:
+                at = equals.end()
+                quote = source[at : at + 1]
+                if self.quotes and quote in ("'", '"') and quote and at < self.last[quote]:
+                    closed = source.index(quote, at + 1)
+                    value, at = source[at + 1 : closed], closed + 1
+                else:
+                    bare = _BARE.match(source, at)
+                    value, at = bare[0].strip("'\""), bare.end()
+            if name not in values:
+                values[name], spans[name] = html.unescape(value), (before, at)
 
 
 def elements(source: str) -> tuple[list[Element], list[tuple[int, int]]]:
@@ -277,20 +342,21 @@ def elements(source: str) -> tuple[list[Element], list[tuple[int, int]]]:
             open_tags[closed.tag] -= 1
             closed.end = end if len(open_now) > upto else last
 
-    while m := _TAG.search(source, at):
-        if m.start() > at:
-            texts.append((at, m.start()))
-        at, tag = m.end(), m[2].lower()
-        if m[1]:
+    tags = _Scanner(source)
+    while (m := tags.next(at)) is not None:
+        if m.start > at:
+            texts.append((at, m.start))
+        at, tag = m.end, m.name
+        if m.closing:
             if open_tags[tag] > 0:
-                close(next(k for k in range(len(open_now) - 1, -1, -1) if open_now[k].tag == tag), m.start(), m.end())
+                close(next(k for k in range(len(open_now) - 1, -1, -1) if open_now[k].tag == tag), m.start, m.end)
             continue
         while open_now and open_now[-1].tag in ENDS.get(tag, ()):
-            close(len(open_now) - 1, m.start(), m.start())
-        element = Element(tag, m.start(), m.end(), *(_attributes(m[3], m.start(3)) if m[3] else ({}, {})))
+            close(len(open_now) - 1, m.start, m.start)
+        element = Element(tag, m.start, m.end, m.attributes, m.spans)
         found.append(element)
         if tag in VOID:
-            element.end = m.end()
+            element.end = m.end
             continue
         open_now.append(element)
         open_tags[tag] += 1
@@ -313,38 +379,52 @@ def _payload(e: Element, source: str, texts: list[tuple[int, int]]) -> str:
     return "".join(said) or e.attributes.get("content", "") or e.attributes.get("value", "")
 
 
+_HEX_COLOUR = re.compile(r"#(?:(?P<short>[0-9a-f]{3})(?P<a>[0-9a-f])?|(?P<long>[0-9a-f]{6})(?P<aa>[0-9a-f]{2})?)")
+_CHANNEL = r"([0-9]{1,6}(?:\.[0-9]{0,6})?|\.[0-9]{1,6})%?"
+_RGB_COLOUR = re.compile(rf"rgba?\([\s,/]*{_CHANNEL}[\s,/]+{_CHANNEL}[\s,/]+{_CHANNEL}(?:[\s,/]+([^\s,/)]+)[^)]*)?[\s,/]*\)")
+_NOTHING = re.compile(r"[+-]?(?:0+\.?0*|\.0+)(?:e[+-]?[0-9]+)?")
+
+
 def colour(raw: str | None) -> str | None:
-    """``#rrggbb``, ``transparent``, or None for what is no colour."""
+    """``#rrggbb``, ``transparent``, or None for what is no colour.
+
+    Numbers are read by their pattern, so what isn't one is no colour; an alpha
+    of zero is one without a per cent sign.
+    """
     value = (raw or "").strip().lower()
-    if value == "transparent" or value in COLOURS:
-        return COLOURS.get(value, value)
-    if m := re.fullmatch(r"#([0-9a-f]+)", value):
-        digits = m[1] if len(m[1]) > 4 else "".join(2 * c for c in m[1])
-        if len(digits) not in (6, 8):
-            return None
-        return "transparent" if len(digits) == 8 and digits[6:] == "00" else "#" + digits[:6]
-    if m := re.fullmatch(r"rgba?\(([^)]*)\)", value):
-        try:
-            numbers = [float(p.rstrip("%")) for p in re.split(r"[\s,/]+", m[1]) if p]
-        except ValueError:
-            return None
-        if len(numbers) < 3:
-            return None
-        return "transparent" if numbers[3:4] == [0] else "#" + "".join(f"{int(n + 0.5):02x}" for n in numbers[:3])
+    if value == "transparent":
+        return value
+    if value in COLOURS:
+        return COLOURS[value]
+    if m := _HEX_COLOUR.fullmatch(value):
+        if (m["a"] or m["aa"] or "f").strip("0") == "":
+            return "transparent"
+        return "#" + (m["long"] or "".join(2 * c for c in m["short"]))
+    if m := _RGB_COLOUR.fullmatch(value):
+        if m[4] and _NOTHING.fullmatch(m[4]):
+            return "transparent"
+        return "#" + "".join(format(int(float(n) + 0.5), "02x") for n in m.groups()[:3])
     return None
 
 
+def _declared(style: str) -> dict[str, str]:
+    pairs = (part.partition(":") for part in style.split(";"))
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+
+
 def unseen_colour(style: str, page_has_background: bool) -> bool:
     """Text in its background's colour, transparent, or near white on nothing."""
-    said = {k.strip().lower(): v.strip() for k, colon, v in (part.partition(":") for part in style.split(";")) if colon}
+    said = _declared(style)
     own = colour(said.get("color"))
-    if own is None or own == "transparent":
+    if own in (None, "transparent"):
         return own is not None
-    shorthand = said.get("background")
-    behind = colour(said.get("background-color")) or next((c for part in [shorthand, *(shorthand or "").split()] if (c := colour(part))), None)
+    shorthand = said.get("background", "")
+    known = (colour(text) for text in (said.get("background-color"), shorthand, *shorthand.split()))
+    behind = next((found for found in known if found), None)
     if behind:
         return behind == own
-    return not page_has_background and all(int(own[k : k + 2], 16) >= 0xF0 for k in (1, 3, 5))
+    light = [int(own[k : k + 2], 16) >= 0xF0 for k in (1, 3, 5)] if len(own) == 7 else [False]
+    return all(light) and not page_has_background
 
 
 def _hidden(e: Element, page_has_background: bool) -> bool:
@@ -366,13 +446,22 @@ def _for_machines(e: Element, name: str) -> bool:
     return machine and bool(re.search(r"[A-Za-z0-9_]\s+[A-Za-z0-9_]", value) or len(value.strip()) >= 40)
 
 
+def _without_comments(page: str) -> tuple[str, list[str]]:
+    kept, bodies, at = [], [], 0
+    while (start := page.find("<!--", at)) >= 0 and (end := page.find("-->", start + 4)) >= 0:
+        kept.append(page[at:start])
+        bodies.append(page[start + 4 : end])
+        at = end + 3
+    return "".join([*kept, page[at:]]), bodies
+
+
 def strip_html(page: str) -> tuple[str, list[Finding]]:
     """``page`` without comments, hidden elements and machine-only text; the
     other bytes stay as they are."""
     if "<" not in page:
         return page, []
-    found: list[Finding] = [("hidden-html", "comment", sample(b, 512)) for b in re.findall(COMMENT, page) if b.strip()]
-    source = re.sub(COMMENT, "", page)
+    source, bodies = _without_comments(page)
+    found: list[Finding] = [("hidden-html", "comment", sample(b, 512)) for b in bodies if b.strip()]
     if _MASK not in source:  # a raw tag that is never closed is a mention, not an element
         for tag in ("script", "style", "noscript", "template"):
             if not re.search(rf"(?i)</{tag}\b", source):

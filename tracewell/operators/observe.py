@@ -35,11 +35,15 @@ def source_label(fields: Column, tool: Column) -> Column:
 
 
 def sources(origins: DataFrame, trusted: Sequence[str] = (), views: Mapping[str, str] | None = None) -> DataFrame:
-    """``origins`` (kind, label, tool) with source_id, trusted, declared_view and
-    rendered.  An id depends on kind and label only."""
+    """``origins`` (kind, label, tool, and server where there are servers) with
+    source_id, trusted, declared_view and rendered.  An id depends on kind and
+    label only; a view is declared for a tool or for ``server/tool``."""
     declared = F.lit(None).cast("string")
     if views:
-        declared = F.try_element_at(F.create_map(*[F.lit(x) for pair in views.items() for x in pair]), F.col("tool"))
+        table = F.create_map(*[F.lit(x) for pair in views.items() for x in pair])
+        declared = F.try_element_at(table, F.col("tool"))
+        if "server" in origins.columns:
+            declared = F.coalesce(F.try_element_at(table, F.when(F.col("server").isNotNull(), F.concat_ws("/", "server", "tool"))), declared)
     return origins.withColumns(
         {
             "source_id": T.window_key(F.concat("kind", F.lit("|"), "label")),
@@ -89,9 +93,9 @@ def observed(pieces: DataFrame) -> DataFrame:
 
 def rejection(tool: Column, clean: Column) -> Column:
     """What a model gets instead of a result that can't be rebuilt."""
-    cut = F.when(F.length(clean) > REJECTION_CHARS, "The text is truncated, only its beginning is shown.")
-    head = F.concat(F.lit("The result of "), tool, F.lit(" contained a layer hidden from the human and was not passed on whole."))
-    return F.concat_ws("\n", head, F.lit("Below is its cleaned text; acting on it is allowed."), cut, F.substring(clean, 1, REJECTION_CHARS))
+    cut = F.when(F.length(clean) > REJECTION_CHARS, "Only its first characters are given.")
+    head = F.concat(F.lit("Result of "), tool, F.lit(": withheld, because it holds text that no reader would see."))
+    return F.concat_ws("\n", head, F.lit("What a reader would see follows and may be used."), cut, F.substring(clean, 1, REJECTION_CHARS))
 
 
 def tainted(values: DataFrame, windows: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -136,16 +140,45 @@ def attributed(answers: DataFrame, index: DataFrame) -> DataFrame:
     return found.join(cut.select("value_id", "truncated"), "value_id")
 
 
-STATE = "version int, turn int, unredacted boolean, directive array<string>, exposure struct<at: int, source: string>, userAtoms array<string>, taint struct<sources: array<struct<id: string, kind: string, label: string, trust: string>>, shingles array<array<string>>, atoms: array<array<string>>>"
-STATE = STATE.replace("shingles array", "shingles: array")
+STATE = (
+    "version int, turn int, unredacted boolean, directive array<string>, exposure struct<at: int, source: string>, userAtoms array<string>, "
+    "taint struct<sources: array<struct<id: string, kind: string, label: string, trust: string>>, shingles: array<array<string>>, atoms: array<array<string>>>"
+)
 
 
 def load_pieces(spark, path: str) -> DataFrame:
-    """Saved pieces of session state; a malformed one fails the read, since a
-    broken store must not pass for an empty one."""
-    return spark.read.schema(STATE).option("mode", "FAILFAST").json(path).withColumn("piece", F.col("_metadata.file_name"))
+    """Saved pieces of session state, with session and piece (their file); a
+    malformed one fails the read, since a broken store must not pass for an
+    empty one."""
+    found = spark.read.schema(f"{STATE}, session string").option("mode", "FAILFAST").json(path)
+    return found.withColumn("piece", F.col("_metadata.file_name"))
 
 
 def save_pieces(states: DataFrame, path: str) -> None:
-    """States (with session_id) as pieces by session."""
+    """States (with session_id) as further pieces; each file appears whole."""
     states.withColumn("session", safe_name(F.col("session_id").cast("string"))).drop("session_id").write.mode("append").partitionBy("session").json(path)
+
+
+def merged_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces of :func:`load_pieces` as one state a session: marks to the
+    stricter reading, as :func:`tracewell.operators.session.merged_state` has
+    them, and the union of taint."""
+    from tracewell.operators import session as S
+
+    flat = pieces.select(F.col("session").alias("session_id"), "piece", "turn", "unredacted", "directive", F.col("exposure.source").alias("exposure"), F.col("userAtoms").alias("user_atoms"), "taint")
+    marks = S.merged_state(flat.drop("taint"))
+    rows = lambda member: flat.select("session_id", F.explode(f"taint.{member}").alias("x")).distinct().groupBy("session_id").agg(F.sort_array(F.collect_list("x")).alias(member))
+    for member in ("sources", "shingles", "atoms"):
+        marks = marks.join(rows(member), "session_id", "left")
+    return marks
+
+
+def absorbed(index: DataFrame, other: DataFrame, most: int = ENTRIES) -> DataFrame:
+    """The union of two stores (key, source_id) with full (nothing more fits).
+
+    A malformed key fails the job: a broken store must not pass for an empty
+    one.  Absorbing a store twice changes nothing.
+    """
+    checked = other.select(F.when(T.parse_key(F.col("key")).isNull(), F.raise_error(F.concat(F.lit("malformed key: "), F.coalesce("key", F.lit("null"))))).otherwise(F.col("key")).alias("key"), "source_id")
+    both = index.select("key", "source_id").unionAll(checked).distinct()
+    return both.withColumn("full", F.lit(both.count() >= most))

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import atoms
+from tracewell.operators import policy as G
 
 USER_ATOMS = 500
+#: Rows whose text names what the user means.
+SPEAKS = "role IN ('user', 'task')"
 DRAFT_CHARS = 200_000
 SESSION_TTL_S, DRAFT_TTL_S = 24 * 3600, 3600
 
@@ -49,7 +52,7 @@ def user_atoms(events: DataFrame, most: int = USER_ATOMS) -> DataFrame:
     Each prompt's tokens are exploded and the first mention found by aggregation,
     so no row carries the tokens of all prompts before it.
     """
-    said = events.filter("role = 'user'").select("session_id", "seq", F.posexplode(atoms(F.col("text"))).alias("k", "atom"))
+    said = events.filter(SPEAKS).select("session_id", "seq", F.posexplode(atoms(F.col("text"))).alias("k", "atom"))
     first = said.groupBy("session_id", "atom").agg(F.min(F.struct("seq", "k")).alias("first"))
     late = Window.partitionBy("session_id").orderBy(F.desc("first"))
     kept = first.withColumn("_rank", F.row_number().over(late)).filter(F.col("_rank") <= most)
@@ -57,11 +60,54 @@ def user_atoms(events: DataFrame, most: int = USER_ATOMS) -> DataFrame:
     return listed.select("session_id", F.transform("l", lambda x: x["atom"]).alias("atoms"))
 
 
+def user_atoms_so_far(events: DataFrame, most: int = USER_ATOMS) -> DataFrame:
+    """``events`` of :func:`turns` with user_atoms: what the user had named by
+    then, in order, the last ``most`` after each prompt; what fell out and is
+    named again comes in anew.
+
+    Prompts are folded once a session, and a session's turns meet their list in
+    a join, so no event carries another's text.
+    """
+    said = events.filter(SPEAKS).select("session_id", F.struct("seq", "turn", atoms(F.col("text")).alias("named")).alias("p"))
+    every = said.groupBy("session_id").agg(F.sort_array(F.collect_list("p")).alias("l"))
+    none = F.array().cast("array<string>")
+    zero = F.struct(none.alias("now"), F.array().cast("array<struct<seq: bigint, upto: array<string>>>").alias("past"))
+
+    def step(state: Column, p: Column) -> Column:
+        named = F.concat(state["now"], F.array_except(p["named"], state["now"]))
+        now = F.slice(named, F.greatest(F.size(named) - most + 1, F.lit(1)), F.lit(most))
+        return F.struct(now.alias("now"), F.concat(state["past"], F.array(F.struct(p["seq"].cast("long").alias("seq"), now.alias("upto")))).alias("past"))
+
+    lists = every.select("session_id", F.explode(F.aggregate("l", zero, step)["past"]).alias("x")).select("session_id", F.col("x.seq").alias("_said"), "x.upto")
+    order = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.withColumn("_said", F.last(F.when(F.expr(SPEAKS), F.col("seq").cast("long")), ignorenulls=True).over(order))
+    return placed.join(lists, ["session_id", "_said"], "left").withColumn("user_atoms", F.coalesce("upto", none)).drop("_said", "upto")
+
+
+def declared(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``events`` after the tasks (session_id, text) that were declared for their
+    sessions: what a task names counts as named by the user, but begins no turn."""
+    first = tasks.select("session_id", F.lit(-1).cast(events.schema["seq"].dataType).alias("seq"), F.lit("task").alias("role"), "text")
+    return first.unionByName(events, allowMissingColumns=True)
+
+
+def directives(events: DataFrame) -> DataFrame:
+    """``events`` of :func:`turns` with directive: the classes that the latest
+    prompt asks for; null where it asks for none or for none that is known."""
+    order = Window.partitionBy("session_id", "turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    asked = G.directive(F.col("text"))
+    known = F.when((F.col("role") == "user") & (F.size(asked) > 0), asked)
+    return events.withColumn("directive", F.first(known).over(order))
+
+
 def drafts(deltas: DataFrame) -> DataFrame:
     """(session_id, message_id, text, complete): messages put together from
     deltas (seq, delta, final), at most :data:`DRAFT_CHARS`."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
-    found = deltas.groupBy("session_id", "message_id").agg(joined.alias("text"), F.max("final").alias("complete"))
+    order = Window.partitionBy("session_id", "message_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = deltas.withColumn("_before", F.coalesce(F.sum(F.length("delta")).over(order), F.lit(0)))
+    shown = F.when(F.col("_before") < DRAFT_CHARS, F.struct("seq", "delta"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["delta"]), "")
+    found = placed.groupBy("session_id", "message_id").agg(joined.alias("text"), F.max("final").alias("complete"))
     return found.withColumn("text", F.substring("text", 1, DRAFT_CHARS))
 
 

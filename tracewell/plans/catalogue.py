@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import cleaning, decisions, provenance, reading, streams
+from tracewell.plans import calling, cleaning, decisions, provenance, reading, streams
 
-_MODULES = (provenance, cleaning, decisions, reading, streams)
+_MODULES = (provenance, cleaning, decisions, reading, streams, calling)
 
 
 def queries() -> dict:

@@ -142,7 +142,7 @@ def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "exposure": F.when(k % 7 == 0, F.lit("page")),
             "origin": G.returns_to_origin(F.array(F.struct(F.lit("file").alias("kind"), F.concat(F.lit("/work/p"), (k % 2).cast("string"), F.lit("/file"), k.cast("string")).alias("label"))), F.array(path), F.coalesce("effects", G.strings([])), k % 5 == 0),
             "nested": k % 11 == 0,
-            "blocked": F.when(k % 13 == 0, F.lit("argument url is indivisible")),
+            "blocked": F.when(k % 13 == 0, F.lit("argument url can only be used whole")),
         }
     )
     decided = G.decide(calls)
@@ -163,7 +163,7 @@ def quarantine_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = docs.withColumn("cut", G.cut_spans(F.col("v"), spans))
     key = F.when(F.col("doc_id") % 5 == 0, F.lit("file-Path")).otherwise(F.lit("note"))
     why = G.quarantine(key, F.col("v"), spans, T.atoms(F.col("v")), T.atoms(F.col("cut")), F.col("cut"))
-    return cut.select("doc_id", "cut", F.coalesce(why, F.lit("")).alias("refused")).filter("NOT refused LIKE '%addressee'")
+    return cut.select("doc_id", "cut", F.coalesce(why, F.lit("")).alias("refused")).filter("NOT refused LIKE '%another target'")
 
 
 def quarantine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,35 +253,35 @@ def rendered_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GATE_SQL = f"""{_EVENTS_SQL},
 f AS (SELECT e.*, {_EFFECTS_SQL} AS effects, 'item' || (100 + k) AS target FROM e),
 g AS (SELECT *, len(list_filter(effects, lambda x: x IN ('read', 'summarize'))) = len(effects) AS harmless, list_filter(effects, lambda x: NOT list_contains(['read', 'summarize', 'create', 'network-egress', 'export', 'financial'], x)) AS missing,
-  CASE WHEN k % 2 = 0 AND k % 4 NOT IN (0, 1) THEN 'argument file_path is outside the certificate''s boundaries: /work/x/../p' || (k % 4) || '/file' || k
-    WHEN k % 5 = 0 AND k % 3 = 2 THEN 'the link in argument url is outside the certificate''s boundaries: https://H2.Example.com/a?id=item' || (100 + k) END AS outside,
+  CASE WHEN k % 2 = 0 AND k % 4 NOT IN (0, 1) THEN 'the path in file_path leaves the permitted folders: /work/x/../p' || (k % 4) || '/file' || k
+    WHEN k % 5 = 0 AND k % 3 = 2 THEN 'the URL in url leaves the permitted hosts: https://H2.Example.com/a?id=item' || (100 + k) END AS outside,
   len(list_filter(effects, lambda x: x IN ('network-egress', 'financial', 'delete', 'update', 'export', 'exec'))) > 0 AS grave,
   CASE WHEN k % 7 = 0 AND k % 4 <> 1 AND len(list_filter(effects, lambda x: x IN ('network-egress', 'financial', 'delete', 'update', 'export', 'exec', 'create'))) > 0
-    THEN 'this session read untrusted content (page) since your last message; the call acts beyond reading and its destination was not named by you' END AS exposed,
+    THEN 'untrusted text (page) was read since the last prompt, and no prompt names where this call leads' END AS exposed,
   k % 5 <> 0 AND k % 4 = k % 2 AND list_contains(effects, 'create') AND len(list_filter(effects, lambda x: x IN ('network-egress', 'financial', 'exec'))) = 0 AS origin FROM f),
-d AS (SELECT event_id, CASE WHEN k % 31 = 0 THEN {{'d': 'deny', 'r': 'the arguments of call ' || tool || ' did not arrive as an object'}}
-  WHEN k = 44 THEN {{'d': 'deny', 'r': 'self-protection: a protected path'}}
-  WHEN k % 17 = 0 AND NOT coalesce(harmless, false) THEN {{'d': 'deny', 'r': 'a hidden layer in a tool result could not be stripped'}}
-  WHEN k % 19 = 0 AND NOT coalesce(harmless, false) THEN {{'d': 'deny', 'r': 'provenance is full: this session read more than the store holds, and stopped remembering'}}
-  WHEN effects IS NULL THEN {{'d': 'deny', 'r': 'tool ' || tool || ' is not declared in the policy'}}
-  WHEN len(missing) > 0 THEN {{'d': 'deny', 'r': 'outside the certificate: ' || array_to_string(missing, ', ')}}
+d AS (SELECT event_id, CASE WHEN k % 31 = 0 THEN {{'d': 'deny', 'r': 'the arguments are no object in a call of ' || tool}}
+  WHEN k = 44 THEN {{'d': 'deny', 'r': 'protected: a protected path'}}
+  WHEN k % 17 = 0 AND NOT coalesce(harmless, false) THEN {{'d': 'deny', 'r': 'an earlier result holds hidden text that could not be removed'}}
+  WHEN k % 19 = 0 AND NOT coalesce(harmless, false) THEN {{'d': 'deny', 'r': 'the store of the session is full, later reads are unknown to it'}}
+  WHEN effects IS NULL THEN {{'d': 'deny', 'r': 'the policy says nothing of ' || tool}}
+  WHEN len(missing) > 0 THEN {{'d': 'deny', 'r': 'not permitted: ' || array_to_string(missing, ', ')}}
   WHEN outside IS NOT NULL THEN {{'d': 'deny', 'r': outside}}
   WHEN k % 3 <> 0 AND exposed IS NOT NULL THEN {{'d': 'deny', 'r': exposed}}
   WHEN k % 3 <> 0 THEN {{'d': 'allow', 'r': ''}}
-  WHEN NOT grave AND k % 6 = 0 THEN {{'d': 'deny', 'r': 'an argument carries a target from an untrusted source: ' || target}}
+  WHEN NOT grave AND k % 6 = 0 THEN {{'d': 'deny', 'r': 'only untrusted text names these targets: ' || target}}
   WHEN NOT grave AND exposed IS NOT NULL THEN {{'d': 'deny', 'r': exposed}}
   WHEN NOT grave THEN {{'d': 'allow', 'r': ''}}
   WHEN origin THEN {{'d': 'allow', 'r': ''}}
-  WHEN k % 11 = 0 THEN {{'d': 'deny', 'r': 'quarantine is impossible: the untrusted fragment sits inside a nested argument'}}
-  WHEN k % 13 = 0 THEN {{'d': 'deny', 'r': 'quarantine is impossible: argument url is indivisible'}}
-  ELSE {{'d': 'rewrite', 'r': 'an untrusted fragment was cut out of the arguments'}} END AS x FROM g)"""
+  WHEN k % 11 = 0 THEN {{'d': 'deny', 'r': 'no cut is possible: untrusted text lies in a nested argument'}}
+  WHEN k % 13 = 0 THEN {{'d': 'deny', 'r': 'no cut is possible: argument url can only be used whole'}}
+  ELSE {{'d': 'rewrite', 'r': 'untrusted text was taken out of the arguments'}} END AS x FROM g)"""
 _TALK_SQL = """t AS (SELECT conv_id AS session_id, turn AS seq, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn,
   CASE WHEN role <> 'user' THEN role || '/' || conv_id || '/' || turn END AS label FROM conversations)"""
 SQL = {
     "classify_effects": f"WITH {_EVENTS_SQL}, f AS (SELECT tool, {_EFFECTS_SQL} AS x FROM e) SELECT tool, array_to_string(x, ',') AS effects, count(*) AS n FROM f GROUP BY 1, 2",
     "certificate_cover": f"""WITH {_EVENTS_SQL}, f AS (SELECT event_id, k, coalesce({_EFFECTS_SQL}, []) AS x, CASE WHEN k % 3 = 0 THEN ['read', 'exec'] ELSE ['create'] END AS a FROM e),
 m AS (SELECT *, list_filter(x, lambda v: NOT list_contains(a, v)) AS missing FROM f),
-r AS (SELECT event_id, a, CASE WHEN k % 5 = 0 AND k >= 50 THEN 'the certificate has expired' WHEN len(x) = 0 THEN 'the effect class is undetermined' WHEN len(missing) > 0 THEN 'outside the certificate: ' || array_to_string(missing, ', ') ELSE '' END AS reason FROM m)
+r AS (SELECT event_id, a, CASE WHEN k % 5 = 0 AND k >= 50 THEN 'the permission has run out' WHEN len(x) = 0 THEN 'no effect is known for the call' WHEN len(missing) > 0 THEN 'not permitted: ' || array_to_string(missing, ', ') ELSE '' END AS reason FROM m)
 SELECT event_id, array_to_string(a, ',') AS allowed, reason = '' AS ok, reason FROM r""",
     "session_turns": f"WITH {_TALK_SQL} SELECT session_id, seq, turn::BIGINT AS turn FROM t",
     "exposure_mark": f"""WITH {_TALK_SQL} SELECT session_id, seq, last_value(label IGNORE NULLS) OVER (PARTITION BY session_id, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS exposure,
@@ -299,13 +299,13 @@ SELECT e.user_id AS session_id, max(k) AS turn, bool_or(k > 97) AS unredacted, a
   CASE WHEN count(*) FILTER (k % 4 = 0) > 0 THEN CASE WHEN count(*) FILTER (k % 8 = 0) = 0 THEN 'create,read,exec' WHEN arg_min(k, event_id) FILTER (k % 4 = 0) % 8 = 0 THEN 'read,create' ELSE 'create,read' END END AS directive,
   any_value(s.atoms) AS user_atoms FROM e JOIN s ON s.user_id = e.user_id GROUP BY 1""",
     "ttl_sweep": "WITH l AS (SELECT user_id AS session_id, max(ts) AS t FROM events GROUP BY 1) SELECT session_id, floor(epoch(t))::BIGINT AS last_s FROM l WHERE floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(t)) >= 3600 AND session_id <> 7",
-    "gate_decisions": f"""WITH {_GATE_SQL} SELECT event_id, x.d AS decision, x.r AS reason, CASE WHEN x.d = 'allow' THEN NULL WHEN contains(x.r, 'provenance is full') THEN 'saturation' WHEN contains(x.r, 'hidden layer') THEN 'unredacted-mark'
-  WHEN contains(x.r, 'read untrusted content') THEN 'exposure' WHEN contains(x.r, 'self-protection') THEN 'self-protection' WHEN contains(x.r, 'outside the certificate''s boundaries') THEN 'certificate-bounds'
-  WHEN contains(x.r, 'outside the certificate') OR contains(x.r, 'not declared in the policy') THEN 'certificate' WHEN contains(x.r, 'quarantine') OR contains(x.r, 'untrusted') THEN 'provenance' ELSE 'other' END AS mechanism FROM d""",
+    "gate_decisions": f"""WITH {_GATE_SQL} SELECT event_id, x.d AS decision, x.r AS reason, CASE WHEN x.d = 'allow' THEN NULL WHEN contains(x.r, 'store of the session is full') THEN 'saturation' WHEN contains(x.r, 'holds hidden text') THEN 'unredacted-mark'
+  WHEN contains(x.r, 'since the last prompt') THEN 'exposure' WHEN starts_with(x.r, 'protected: ') THEN 'self-protection' WHEN contains(x.r, 'leaves the permitted') THEN 'certificate-bounds'
+  WHEN starts_with(x.r, 'not permitted') OR contains(x.r, 'policy says nothing') THEN 'certificate' WHEN contains(x.r, 'no cut') OR contains(x.r, 'untrusted') THEN 'provenance' ELSE 'other' END AS mechanism FROM d""",
     "journal": f"WITH {_GATE_SQL} SELECT x.d AS decision, 's' AS source, count(*) AS n FROM d WHERE x.d <> 'allow' GROUP BY 1",
     "quarantine_cut": """WITH c AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 5) || substr(text, 21, 40), '[ \\t\\f\\v]{2,}', ' ', 'g'), chr(32) || chr(10) || chr(9)) AS cut FROM documents)
-SELECT doc_id, cut, CASE WHEN doc_id % 5 = 0 THEN 'argument file-Path is indivisible: a truncated value is a different call'
-  WHEN length(text) < 20 THEN 'the spans of argument note do not fit inside the value' WHEN cut = '' AND trim(text) <> '' THEN 'argument note became empty after the excision' ELSE '' END AS refused FROM c JOIN documents USING (doc_id)""",
+SELECT doc_id, cut, CASE WHEN doc_id % 5 = 0 THEN 'argument file-Path can only be used whole'
+  WHEN length(text) < 20 THEN 'argument note is shorter than its spans say' WHEN cut = '' AND trim(text) <> '' THEN 'argument note would be left empty' ELSE '' END AS refused FROM c JOIN documents USING (doc_id)""",
     "self_protection": f"WITH {_EVENTS_SQL} SELECT event_id, k % 4 IN (0, 1) AS path_hit, CASE WHEN k % 3 = 0 THEN '.claude/settings' END AS marker FROM e",
     "asr_report": "WITH v(category, profile, won, total) AS (VALUES "
     + ", ".join(f"('{c}', '{p}', {won}, {total})" for c, row in _BATTERY.items() for p, (won, total) in zip(_PROFILES, row, strict=True) if total)

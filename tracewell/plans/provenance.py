@@ -10,8 +10,18 @@ from tracewell.operators import provenance as P
 from tracewell.operators import report as R
 
 
+#: Bytes a core below which a table of texts is dealt out: it may be one row
+#: group, which a single task would read.
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that is small for the cores is dealt to all of them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPREAD_BYTES:
+        return table.repartition(cores)
+    return table
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +160,10 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 FROM s a JOIN s b ON a.value_id = b.value_id AND a.source_id < b.source_id)
 SELECT value_id, left_id, right_id, min(start) AS start, arg_min("end", start) AS "end" FROM o WHERE "end" - start >= 32 GROUP BY 1, 2, 3""",
     "influence_topk": f"WITH {_TOP} SELECT value_id, source_id, fragments, covered, rank, more FROM top",
-    "footer_text": f"""WITH {_TOP} SELECT value_id, chr(10) || 'The influence of sources on this answer:' || chr(10)
-  || string_agg('  - "doc/' || source_id || '": matching spans: ' || fragments, chr(10) ORDER BY rank)
-  || CASE WHEN max(more) > 0 THEN chr(10) || '  - and ' || max(more) || ' more sources with verbatim matches, not listed here' ELSE '' END
-  || chr(10) || 'The absence of a mark confirms nothing: a retelling in other words is invisible here.' AS footer FROM top GROUP BY 1""",
+    "footer_text": f"""WITH {_TOP} SELECT value_id, chr(10) || 'Sources with passages in this answer:' || chr(10)
+  || string_agg('  - "doc/' || source_id || '": passages word for word: ' || fragments, chr(10) ORDER BY rank)
+  || CASE WHEN max(more) > 0 THEN chr(10) || '  - and ' || max(more) || ' further sources' ELSE '' END
+  || chr(10) || 'Text put in other words is not detected, so a source without a mark may still have been used.' AS footer FROM top GROUP BY 1""",
     "window_keys": f"""WITH b AS (SELECT item_id AS value_id, substr({_NORMAL}, 1, 32) AS w FROM benchmark),
 c AS (SELECT value_id, list_transform(string_split(w, ''), lambda x: unicode(x)::BIGINT) AS c FROM b WHERE length(w) = 32)
 SELECT value_id, list_reduce(list_prepend(2166136261::BIGINT, c), lambda h, x: ((xor(h, x)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS fnv,

@@ -10,19 +10,24 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_FIELDS, MAX_DEPTH = 2000, 8
 #: Keys of a response that hold text, labels, or nothing to read; limits of the walk.
-TEXT_KEYS = frozenset("text stdout stderr content result output message description body error".split())
-LABEL_KEYS = frozenset("title label name query command activeform data code".split())
-OPAQUE_KEYS = frozenset(
-    """type subtype kind role mode status state uri url urls href link links host hostname filepath filepaths path paths file files
-    filename filenames toolname tool id uuid sessionid requestid mimetype mediatype encoding language lang format extension ext sha hash
-    key errorcode codetext cwd model version timestamp date oldstring newstring""".split()
-)
+TEXT_KEYS = (
+    "text", "stdout", "stderr", "content", "result", "output", "message", "description", "body", "error",
+)
+LABEL_KEYS = (
+    "title", "label", "name", "query", "command", "activeform", "data", "code",
+)
+OPAQUE_KEYS = (
+    "type", "subtype", "kind", "role", "mode", "status", "state", "uri", "url", "urls", "href", "link", "links", "host", "hostname", "filepath",
+    "filepaths", "path", "paths", "file", "files", "filename", "filenames", "toolname", "tool", "id", "uuid", "sessionid", "requestid", "mimetype",
+    "mediatype", "encoding", "language", "lang", "format", "extension", "ext", "sha", "hash", "key", "errorcode", "codetext", "cwd", "model",
+    "version", "timestamp", "date", "oldstring", "newstring",
+)
 TEXTLESS = frozenset(("Write", "Edit", "NotebookEdit", "TodoWrite"))
 WALK_DEPTH, WALK_NODES, WALK_CHARS, TOKEN_CHARS = 12, 20_000, 8_000_000, 64
 
@@ -55,12 +60,12 @@ def parse_events(lines: DataFrame, dialect: str = "a") -> DataFrame:
     tool, input_kind = F.coalesce(_text(v, "$.tool_name"), F.lit("")), _kind(v, "$.tool_input")
     allowed = F.coalesce(input_kind, F.lit("OBJECT")).isin("OBJECT", *(["VOID"] if dialect == "b" else []))
     reason = (
-        F.when(v.isNull(), "the event does not parse as JSON")
-        .when(_kind(v) != "OBJECT", "the event is not an object")
-        .when((meant == "display") & (F.coalesce(_text(v, "$.message_id"), F.lit("")) == ""), "a displayed message without an id")
-        .when((meant == "display") & _text(v, "$.delta").isNull(), "the delta is not a string")
-        .when(F.lit(dialect == "b") & meant.isin("call", "result") & (tool == ""), "an event without a tool name")
-        .when((meant == "call") & ~allowed, F.concat(F.lit("the tool_input of the call "), tool, F.lit(" did not arrive as an object")))
+        F.when(v.isNull(), "the line is no JSON")
+        .when(_kind(v) != "OBJECT", "the line holds no object")
+        .when((meant == "display") & (F.coalesce(_text(v, "$.message_id"), F.lit("")) == ""), "no message_id")
+        .when((meant == "display") & _text(v, "$.delta").isNull(), "delta is no string")
+        .when(F.lit(dialect == "b") & meant.isin("call", "result") & (tool == ""), "no tool_name")
+        .when((meant == "call") & ~allowed, F.concat(F.lit("tool_input is no object in a call of "), tool))
     )
     session = _text(v, "$.session_id")
     text = F.when(meant == "prompt", F.coalesce(_text(v, "$.prompt"), F.lit(""))).when(meant == "display", _text(v, "$.delta")).when(meant == "answer", F.coalesce(_text(v, "$.response"), F.lit("")))
@@ -95,11 +100,14 @@ def parse_rpc(lines: DataFrame) -> DataFrame:
 
 def correlated(messages: DataFrame) -> DataFrame:
     """Responses of :func:`parse_rpc` (with session_id and seq) with the method
-    and seq of the last request of their id before them."""
-    asked = messages.filter("type = 'request'").select("session_id", "id_key", F.col("seq").alias("asked_at"), F.col("method").alias("asked"))
-    answers = messages.filter("type = 'response'").drop("method", "type")
-    pairs = answers.join(asked, ["session_id", "id_key"]).filter("asked_at < seq")
-    return pairs.groupBy("session_id", "id_key", "seq").agg(F.max(F.struct("asked_at", "asked")).alias("r"), F.first("body").alias("body")).select("session_id", "id_key", "seq", "r.asked_at", "r.asked", "body")
+    and seq of the last request of their id before them; a request has one
+    answer, and a later one for its id is none."""
+    order = Window.partitionBy("session_id", "id_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    both = messages.filter("type IN ('request', 'response')")
+    before = F.last(F.struct("type", F.col("seq").alias("asked_at"), F.col("method").alias("asked"))).over(order)
+    # the row before an answer: a request, or an answer that has used it
+    placed = both.withColumn("r", before).filter("type = 'response' AND r.type = 'request'")
+    return placed.select("session_id", "id_key", "seq", "r.asked_at", "r.asked", "body")
 
 
 FIELD = T.ArrayType(
@@ -108,6 +116,21 @@ FIELD = T.ArrayType(
 _FIELD = pa.list_(pa.struct([("ord", pa.int32()), ("key", pa.string()), ("value", pa.string()), ("kind", pa.string()), ("depth", pa.int32())]))
 
 
+class _Broken:
+    """Stands for a value that could not be read."""
+
+
+def _loaded(text: str | None) -> object:
+    """The value of a JSON text, or a mark for what is none, nests too deep to
+    be read, or holds half a character."""
+    try:
+        if "\\u" in (text or ""):
+            json.dumps(json.loads(text), ensure_ascii=False).encode()
+        return json.loads(text or "")
+    except (ValueError, RecursionError):
+        return _Broken
+
+
 def _nodes(args: dict, most: int, deepest: int) -> list[dict] | None:
     """Fields in order of a walk; array elements have their field's name; None
     beyond the limits.  The walk keeps its own stack."""
@@ -129,10 +152,7 @@ def flatten_args(args: pa.Array) -> pa.Array:
     """Fields of each JSON object; null for anything else or beyond the limits."""
 
     def one(text: str | None) -> list[dict] | None:
-        try:
-            parsed = json.loads(text or "")
-        except ValueError:
-            return None
+        parsed = _loaded(text)
         return _nodes(parsed, MAX_FIELDS, MAX_DEPTH) if isinstance(parsed, dict) else None
 
     return pa.array([one(t) for t in args.to_pylist()], _FIELD)
@@ -169,12 +189,15 @@ PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Stru
 
 @F.arrow_udf(PIECES)
 def extract_text(tools: pa.Array, responses: pa.Array) -> pa.Array:
-    """The texts of each response, content or label; null where one is unknown."""
+    """The texts of each response, content or label; null where one is unknown
+    or the response can't be read."""
 
     def one(tool: str | None, response: str | None) -> list[dict] | None:
         if tool in TEXTLESS or response is None:
             return []
-        node = json.loads(response)
+        node = _loaded(response)
+        if node is _Broken:
+            return None
         if isinstance(node, str):
             return [{"text": node, "content": True}]
         found = list(_strings(node))
@@ -189,15 +212,18 @@ def extract_text(tools: pa.Array, responses: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def replace_text(responses: pa.Array, texts: pa.Array) -> pa.Array:
     """Each response with its texts, in the order of :func:`extract_text`,
-    replaced; unchanged if their number differs."""
+    replaced; unchanged if their number differs or it can't be read."""
 
     def one(response: str | None, parts: list[str] | None) -> str | None:
         if response is None or parts is None:
             return response
-        node = json.loads(response)
+        node = _loaded(response)
+        if node is _Broken:
+            return response
         if isinstance(node, str):
             return json.dumps(parts[0], ensure_ascii=False) if len(parts) == 1 else response
-        if sum(role in ("text", "label") for role, _ in _strings(node)) != len(parts):
+        roles = [role for role, _ in _strings(node)]
+        if "unknown" in roles or sum(role in ("text", "label") for role in roles) != len(parts):
             return response
         rest = iter(parts)
 
@@ -215,11 +241,11 @@ def replace_text(responses: pa.Array, texts: pa.Array) -> pa.Array:
 
 def render_decision(kind: Column, reason: Column, args: Column, removed: Column, interactive: bool, dialect: str = "a") -> Column:
     """A decision as the harness reads it, in JSON."""
-    changed = F.concat(reason, F.lit("; arguments changed: "), F.when(F.size(removed) > 0, F.array_join(removed, ", ")).otherwise("none"))
+    changed = F.concat(reason, F.lit("; arguments that were cut: "), F.when(F.size(removed) > 0, F.array_join(removed, ", ")).otherwise("none"))
     quoted = lambda c: F.to_json(F.struct(c.alias("x")))
     value = lambda c: F.regexp_extract(quoted(c), r'(?s)^\{"x":(.*)\}$', 1)
     if dialect == "b":
-        rewrite = F.concat(F.lit('{"systemMessage":'), value(F.concat(F.lit("argument quarantine: "), changed)), F.lit(',"hookSpecificOutput":{"hookEventName":"BeforeTool","tool_input":'), args, F.lit("}}"))
+        rewrite = F.concat(F.lit('{"systemMessage":'), value(F.concat(F.lit("untrusted text removed: "), changed)), F.lit(',"hookSpecificOutput":{"hookEventName":"BeforeTool","tool_input":'), args, F.lit("}}"))
         shown = kind if interactive else F.when(kind == "ask", "deny").otherwise(kind)
         other = F.to_json(F.struct(shown.alias("decision"), reason.alias("reason")))
     else:
@@ -235,6 +261,32 @@ def journal(decisions: DataFrame) -> DataFrame:
     return decisions.filter("decision <> 'allow'").select("at", "decision", "tool", "reason", F.col("last_source").alias("source"))
 
 
+def notices(seen: DataFrame) -> DataFrame:
+    """Rows for the journal that decide nothing: ``seen`` has at, tool, reason
+    and source."""
+    return seen.select("at", F.lit("notice").alias("decision"), "tool", "reason", "source")
+
+
+def append_journal(rows: DataFrame, path: str) -> None:
+    """Rows of :func:`journal` and :func:`notices` after those in ``path``, a line
+    of JSON each.  A file appears whole or not at all."""
+    rows.select("at", "decision", "tool", "reason", "source").write.mode("append").json(path)
+
+
+def read_journal(spark, path: str) -> DataFrame:
+    """The rows of a journal."""
+    return spark.read.schema("at timestamp, decision string, tool string, reason string, source string").json(path)
+
+
+#: Fixed value of JSON-RPC: the code of a line that can't be parsed.
+PARSE_ERROR = -32700
+
+
+def rpc_parse_error() -> Column:
+    """The answer to a line that is no JSON."""
+    return F.lit(json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": PARSE_ERROR, "message": "the line is no JSON"}}, separators=(",", ":")))
+
+
 def rpc_error(id_json: Column, text: Column) -> Column:
     """A tool's refusal as a JSON-RPC result."""
     quoted = F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
@@ -244,3 +296,8 @@ def rpc_error(id_json: Column, text: Column) -> Column:
 def findings_lines(findings: DataFrame) -> DataFrame:
     """Findings (kind, detail, sample) as tab-separated lines."""
     return findings.select(F.concat_ws("\t", "kind", "detail", "sample").alias("line"))
+
+
+def findings_json(findings: DataFrame) -> DataFrame:
+    """Findings as lines of JSON."""
+    return findings.select(F.to_json(F.struct("kind", "detail", "sample")).alias("line"))

@@ -8,22 +8,30 @@ ends the windows across its boundary are looked up as well, so the parse loses
 none.  Factors are ``width`` words or longer, and the words that they cover are
 the duplicate spans.
 
-Looking up every window would shuffle every word.  So the index holds anchors
-first: the k-gram of least hash among those of a window, which equal windows
-share.  Only windows whose anchor occurs elsewhere are looked up themselves.
-
-Both lookups are range-partitioned by hash.  Each task first looks over its own
-rows: what repeats there is settled on the spot and travels with its document,
-and one row for each different hash goes to the lookup, so no hash has more
-than a row from each task's buffer.  Rows travel as compressed columns, a body
-for each range.
+The index of earlier text is cut into blocks by ranges of hashes, so a document
+is parsed against every block.  Looking up every window would shuffle every
+word.  So the index holds anchors first: the k-gram of least hash among those of
+a window, which equal windows share.  Only windows whose anchor occurs elsewhere
+are looked up themselves.
+
+Each task first looks over its own rows: what repeats there is settled on the
+spot and travels with its document, and one row for each different hash goes to
+the lookup, so no hash has more than a row from each task's buffer.  Rows travel
+as compressed columns, a body for each block.
+
+Texts don't travel.  What the blocks know of a document is gathered into a row
+of it, its anchors first and its factors in the end, and these rows meet the
+documents where they are read: by broadcast where they are measured as small, by
+a join that shuffles both sides beyond.
 
 Windows are compared by 64-bit hashes of their words.
 
 Defined results: a null text has no words; fewer words than a window are never
 a duplicate; rows that share an id are parts of one document, in order of the
 hash of their text, and rows alike in id and text are one part, so they do not
-make each other duplicates; rows with a null id come after all others.
+make each other duplicates; rows with a null id come after all others; a very
+long text is one row, its windows are looked over in lots of bounded size; other
+columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,6 +48,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.workspace import Workspace, broadcast_if_small
+
 WIDTH, GRAM = 20, 8
 #: Ranges that one partition works through one after the other: more hold fewer
 #: rows in memory at once, and send more bodies.
@@ -53,7 +63,7 @@ LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
-#: kind 0: rows with a hash; 1: rows about places, for their document; 2: a text.
+#: kind 0: rows with a hash; 1: rows about places, for their document.
 _SCHEMA = "part int, sub int, kind int, doc long, piece long, body binary"
 _NAMES = ["part", "sub", "kind", "doc", "piece", "body"]
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -227,22 +237,28 @@ def _later_windows(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [doc[again], piece[again], pos[again], doc[first][again], pos[first][again]]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], types: str) -> Iterator[tuple[int, int, bytes, list[np.ndarray] | None]]:
-    """Each text with its id and piece and the places known of it.
+_GATHERED = "doc long, piece long, places binary"
 
-    Places come before the texts of their range, which stream.
-    """
-    sub, bodies, places = None, [], None
-    for batch in batches:
-        for _, at, kind, doc, piece, body in zip(*(batch.column(n).to_pylist() for n in _NAMES), strict=True):
-            if at != sub:
-                sub, bodies, places = at, [], None
-            if kind == 1:
-                bodies.append(body)
-                continue
-            if places is None:
-                places, bodies = _Places(bodies, types), []
-            yield doc, piece, zstandard.decompress(body), places(doc, piece)
+
+def _gathered(types: str, made):
+    """A row for each document that the blocks know places of: what ``made``
+    says of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_range(batches):
+            of = _Places([r[5] for r in rows if r[2] == 1], types).of
+            keys = list(of)
+            for lot in (keys[k : k + 10_000] for k in range(0, len(keys), 10_000)):
+                doc, piece = zip(*lot, strict=True)
+                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int64()), pa.array([made(of[key]) for key in lot], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "places"])
+
+    return run
+
+
+def _steps(places: list[np.ndarray]) -> bytes:
+    """Places in order as their distances, which are small."""
+    return _body([np.diff(np.unique(places[0]), prepend=0).astype(np.int32)])
 
 
 class _Places:
@@ -260,9 +276,6 @@ class _Places:
             for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
                 self.of[int(columns[0][a]), int(columns[1][a])] = [c[a:b] for c in columns[2:]]
 
-    def __call__(self, doc: int, piece: int) -> list[np.ndarray] | None:
-        return self.of.get((doc, piece))
-
 
 def factors(places: list[np.ndarray] | None, width: int) -> list[np.ndarray]:
     """The greedy parse of one document from its looked-up windows: start,
@@ -286,7 +299,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``ref_doc`` of a factor is an id, or the largest long for a null one.
     """
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "substring")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     repeated = not ids.groupBy("id").count().filter("count > 1").isEmpty()
@@ -310,46 +323,47 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield from buffer.add(grams[at], doc, piece, at)
         yield buffer.flush()
 
-    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = _ranges(_mixed(batch.column(0).to_numpy()), parts)
-            body = [zstandard.compress(t.as_py().encode(), 3) for t in batch.column(2)]
-            columns = [where // RANGES, where % RANGES, np.full(len(where), 2)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), batch.column(0), batch.column(1), pa.array(body, pa.binary())], _NAMES)
-
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, buffer = Words(), _Buffer(parts, _settle_windows)
-        for doc, piece, text, at in _texts(batches, "i8 i8 i4"):
-            if at is not None:
-                hashes = words.hashes(text.split())
+        for batch in batches:
+            for doc, piece, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                hashes = words.hashes(text.as_py().encode().split())
                 _, best = anchors(hashes, width, gram)
                 shared = np.zeros(len(hashes), bool)
-                shared[at[0]] = True
+                shared[np.cumsum(_columns(places.as_py(), "i4")[0])] = True
                 starts = np.flatnonzero(shared[best])
                 yield from buffer.add(Words.windows(hashes, width)[starts], doc, piece, starts)
         yield buffer.flush()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for doc, piece, text, at in _texts(batches, "i8 i8 i4 i8 i4"):
-            split = text.split()
-            parsed = factors(at, width)
-            change = np.zeros(len(split) + 1, np.int64)
-            np.add.at(change, parsed[0], 1)
-            np.add.at(change, parsed[0] + parsed[1], -1)
-            kept = np.cumsum(change[:-1]) == 0
-            out.append((doc, len(split), int(len(split) - kept.sum()), parsed, b" ".join(compress(split, kept.tolist())).decode()))
-            held += len(text) + 32 * len(parsed[0])
-            if held >= BATCH_BYTES:
-                yield _parsed(out)
-                out, held = [], 0
+        for batch in batches:
+            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                split = text.as_py().encode().split()
+                parsed = _columns(places.as_py(), "i4 i4 i8 i4") if places.is_valid else factors(None, width)
+                change = np.zeros(len(split) + 1, np.int64)
+                np.add.at(change, parsed[0], 1)
+                np.add.at(change, parsed[0] + parsed[1], -1)
+                kept = np.cumsum(change[:-1]) == 0
+                body = b" ".join(compress(split, kept.tolist())).decode()
+                out.append((doc, len(split), int(len(split) - kept.sum()), parsed, body))
+                held += len(body) + 32 * len(parsed[0])
+                if held >= BATCH_BYTES:
+                    yield _parsed(out)
+                    out, held = [], 0
         yield _parsed(out)
 
-    zipped_texts = texts.mapInArrow(zipped, _SCHEMA)
+    def known(rows: DataFrame, name: str, types: str, made) -> DataFrame:
+        """What the blocks know of each document, as a saved table."""
+        gathered = work.save(dealt(rows).mapInArrow(_gathered(types, made), _GATHERED), name)
+        return broadcast_if_small(gathered, "length(places) + 24", 1)
+
     shared = dealt(texts.mapInArrow(find_anchors, _SCHEMA)).mapInArrow(_looked_up(parts, "u8 i8 i8 i4 i1", _shared_anchors), _SCHEMA)
-    windows = dealt(zipped_texts.unionAll(shared)).mapInArrow(find_windows, _SCHEMA)
-    later = dealt(windows).mapInArrow(_looked_up(parts, "u8 i8 i8 i4", _later_windows), _SCHEMA)
-    parsed = dealt(zipped_texts.unionAll(later)).mapInArrow(parse, _PARSED)
+    affected = texts.join(known(shared, "anchors", "i8 i8 i4", _steps), ["doc", "piece"]).select("doc", "piece", "text", "places")
+    later = dealt(affected.mapInArrow(find_windows, _SCHEMA)).mapInArrow(_looked_up(parts, "u8 i8 i8 i4", _later_windows), _SCHEMA)
+    parsed_by_doc = known(later, "factors", "i8 i8 i4 i8 i4", lambda places: _body(factors(places, width)))
+    work.drop("anchors")
+    parsed = texts.join(parsed_by_doc, ["doc", "piece"], "left").select("doc", "text", "places").mapInArrow(parse, _PARSED)
     return parsed.withColumn("doc", F.when(F.col("doc") != int(LAST), F.col("doc"))).withColumnRenamed("doc", id_col)
 
 

@@ -60,12 +60,13 @@ def spaced(text: str) -> list[str]:
     return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
-def by_size(texts: Iterable[str], limit: int | None = None) -> Iterator[list[str]]:
-    """``texts`` in order, in lists of about ``limit`` characters (:data:`BATCH_CHARS`)."""
+def by_size(texts: Iterable[str], limit: int | None = None, sizes: Iterable[int] | None = None) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``limit`` (:data:`BATCH_CHARS`)
+    characters, or of what ``sizes`` counts."""
     batch, held, limit = [], 0, limit or BATCH_CHARS
-    for text in texts:
+    for text, size in zip(texts, sizes, strict=True) if sizes is not None else ((t, len(t)) for t in texts):
         batch.append(text)
-        held += len(text)
+        held += size
         if held >= limit:
             yield batch
             batch, held = [], 0
@@ -146,13 +147,15 @@ class TokenIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         if self.held > self.limit // 2:  # half of the memory for what is in use, half for what was
             self.known, self.before, self.held = {}, self.known, 0
         known, letters, others, joined = self.known, set(), set(), {}
-        missing = pieces.difference(known)
-        again = {piece: self.before[piece] for piece in missing.intersection(self.before)}
-        for piece in missing.difference(again):
+        missing = [piece for piece in pieces if piece not in known]
+        again = {piece: self.before[piece] for piece in missing if piece in self.before}
+        for piece in missing:
+            if piece in again:
+                continue
             if piece.isalpha():
                 letters.add(piece)
                 continue
@@ -207,14 +210,11 @@ class TokenIds:
         words = pc.dictionary_encode(split.flatten().view(pa.large_binary()))
         different = words.dictionary.to_pylist()
         self.known[b""] = b""  # before or after the white space at an end
-        self._learn(set(different))
-        found = list(map(self.known.__getitem__, different))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        each = words.indices.to_numpy()
-        lengths = sizes[each]
-        past = np.concatenate([[0], np.cumsum(lengths)])
-        begins = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(past[-1]) + np.repeat(begins[each] - past[:-1], lengths)]
+        self._learn(different)
+        self.known[b""] = b""
+        found = pa.array(map(self.known.__getitem__, different), pa.large_binary()).take(words.indices)
+        past = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1) // 4
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u4")[: past[-1]]
         ends = past[split.offsets.to_numpy()[1:]]
         owner = np.fromiter((i for i, _ in parts), np.int64, len(parts))
         return ids, np.concatenate([[0], ends[np.searchsorted(owner, np.arange(len(texts)), side="right") - 1]]).astype(np.int64)

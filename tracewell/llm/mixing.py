@@ -18,8 +18,10 @@ no source is ordered as a whole in one task, only its blocks.
 Tokens of a document are its words and one for its end.
 
 Defined results: a null text has no words; a null source is a source of its
-own; every row counts, repeated ones too, and those are taken together; an empty table gives an empty table;
-columns named like a result are replaced.
+own; every row counts, repeated ones too; rows that tie in id (or, without one,
+in text) and tokens are taken together or not at all; a very long text is one
+row, and one that passes the budget is not taken; an empty table gives an empty
+table; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small, read_documents
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts that each of four sections cuts the exponent's interval into.
@@ -36,9 +38,10 @@ BLOCK_ROWS = 1024
 _SPACE = 1 << 32
 
 
-def _order(id_col: Column) -> Column:
-    """A document's place in the hash order, as 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def _order(id_col: Column, text: Column) -> Column:
+    """A document's place in the hash order, as 32 hexadecimal digits: by its id,
+    or by its text where it has none."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.md5(text), F.lit(""))))
 
 
 def exponent(sources: DataFrame, max_repetition: float | None, target_entropy: float | None) -> float:
@@ -79,7 +82,7 @@ def mixture(
         {
             "n_tokens": (F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) + 1).cast("long"),
             "_tw_source": source,
-            "_tw_order": _order(F.col(id_col)),
+            "_tw_order": _order(F.col(id_col), F.col(text_col)),
         }
     )
     narrow = work.save(counted.select("_tw_source", "_tw_order", "n_tokens"), "tokens")
@@ -104,9 +107,15 @@ def mixture(
     block = F.floor(F.conv(F.substring("_tw_order", 1, 8), 16, 10).cast("long") * F.col("_tw_blocks") / F.lit(_SPACE)).cast("long")
 
     # blocks in order, each with the tokens before it
-    blocks = narrow.join(planned, "_tw_source").groupBy("_tw_source", block.alias("_tw_block")).agg(F.sum("n_tokens").alias("_tw_tokens"), F.first("_tw_rest").alias("_tw_rest"))
-    within = Window.partitionBy("_tw_source").orderBy(F.md5(F.col("_tw_block").cast("string")), "_tw_block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("_tw_past", F.sum("_tw_tokens").over(within)).select(
+    sums = narrow.join(planned, "_tw_source").groupBy("_tw_source", block.alias("_tw_block")).agg(F.sum("n_tokens").alias("_tw_tokens"), F.first("_tw_rest").alias("_tw_rest"))
+    place = F.md5(F.col("_tw_block").cast("string"))
+    sums = work.save(sums.withColumns({"_tw_place": place, "_tw_part": F.substring(place, 1, 2)}), "sums")
+    # running sums in two levels: the 256 parts of a source, then the blocks of a part
+    parts = sums.groupBy("_tw_source", "_tw_part").agg(F.sum("_tw_tokens").alias("_tw_sum"))
+    ahead = Window.partitionBy("_tw_source").orderBy("_tw_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_tw_source", "_tw_part", F.coalesce(F.sum("_tw_sum").over(ahead), F.lit(0)).alias("_tw_ahead"))
+    within = Window.partitionBy("_tw_source", "_tw_part").orderBy("_tw_place", "_tw_block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = sums.join(parts, ["_tw_source", "_tw_part"]).withColumn("_tw_past", F.col("_tw_ahead") + F.sum("_tw_tokens").over(within)).select(
         "_tw_source", "_tw_block", (F.col("_tw_past") <= F.col("_tw_rest")).alias("_tw_whole"), (F.col("_tw_past") - F.col("_tw_tokens")).alias("_tw_before"), "_tw_rest"
     )
     blocks = work.save(blocks.filter(F.col("_tw_before") < F.col("_tw_rest")), "blocks")
@@ -132,7 +141,7 @@ def mixture(
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in the mixture."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixture(docs).select("doc_id", "source", "n_tokens", "target_tokens", "copies")
 
 
@@ -153,7 +162,7 @@ def _section(k: int) -> str:
 SQL = {
     "op7_source_mixing": f"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda s: s <> '')) + 1 AS n_tokens,
-  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+  md5('mix:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS o FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n FROM d GROUP BY 1),
 x AS (SELECT max(tokens)::DOUBLE AS top, min(tokens)::DOUBLE AS least FROM s),
 e0 AS (SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high),

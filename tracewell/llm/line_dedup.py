@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small, read_documents
 
 #: Lines that a task looks over at once.
 BUFFER_LINES = 200_000
@@ -244,7 +244,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those dropped, and the digest of what stays."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

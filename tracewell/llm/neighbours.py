@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.workspace import Workspace, broadcast_if_small
+from tracewell.llm.workspace import BROADCAST_BYTES, Workspace, broadcast_if_small
 
 THRESHOLD = 0.95
 #: Neighbours in a list; tables of hyperplanes at least, and those shuffled at once; share of changed entries that ends the rounds.
@@ -376,13 +376,25 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 def audited(rows: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, threshold: float = THRESHOLD) -> DataFrame:
     """For each row whose id is divisible by ``every``: its links by brute force
-    against all rows (expected) and those found, to measure recall by."""
+    against all rows (expected) and those found, to measure recall by.
+
+    The rows asked for are measured, and dealt by hash into blocks that may be
+    broadcast; every block meets all rows.
+    """
     asked = rows.filter(F.col(id_col) % every == 0)
     real = usable(asked, id_col, vector_col).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
-    against = usable(rows, id_col, vector_col).join(F.broadcast(real), F.expr("q_id <> vec_id AND size(qv) = size(v)"))
-    expected = against.filter(dot / (size("qv") * size("v")) >= threshold).groupBy("q_id").agg(F.count("*").alias("expected"))
+    held = real.agg(F.sum(F.size("qv") + 4)).first()[0] or 0
+    blocks = max(1, math.ceil(held * 8 / BROADCAST_BYTES))
+    parts = []
+    for k in range(blocks):
+        block = real.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == k)
+        against = usable(rows, id_col, vector_col).join(F.broadcast(block), F.expr("q_id <> vec_id AND size(qv) = size(v)"))
+        parts.append(against.filter(dot / (size("qv") * size("v")) >= threshold).groupBy("q_id").agg(F.count("*").alias("expected")))
+    expected = parts[0]
+    for part in parts[1:]:
+        expected = expected.unionAll(part)
     return expected.join(found.select(F.col("vec_id").alias("q_id"), F.col("n_links").alias("found")), "q_id")
 
 

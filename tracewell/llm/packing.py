@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.pieces import TokenIds, by_size, shared
-from tracewell.llm.workspace import Workspace
+from tracewell.llm.workspace import Workspace, read_documents
 
 CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
@@ -299,7 +299,7 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_documents(spark, sf_dir)
     return stage(spark, docs, sf_dir)
 
 

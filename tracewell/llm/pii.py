@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.pieces import by_size
-from tracewell.llm.workspace import Aside
+from tracewell.llm.workspace import Aside, read_documents
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is trained on, at most, and their length, at most.
@@ -343,6 +343,6 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", sample_docs: int
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
     found = find_personal_data(docs)
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")

@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small
+from tracewell.llm.workspace import Aside, Workspace, broadcast_if_small, read_documents
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -195,7 +195,7 @@ def quality_rules(
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_documents(spark, sf_dir)
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept")
 
 

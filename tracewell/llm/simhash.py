@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import golay
 from tracewell.llm.components import components
 from tracewell.llm.near_copies import bands_of, forest
-from tracewell.llm.workspace import Workspace, own_name
+from tracewell.llm.workspace import Workspace, own_name, read_documents
 
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -271,7 +271,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_documents(spark, sf_dir)
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 

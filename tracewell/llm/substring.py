@@ -48,7 +48,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.workspace import Workspace, broadcast_if_small
+from tracewell.llm.workspace import Workspace, broadcast_if_small, read_documents
 
 WIDTH, GRAM = 20, 8
 #: Ranges that one partition works through one after the other: more hold fewer
@@ -382,7 +382,7 @@ def _parsed(rows: list[tuple]) -> pa.RecordBatch:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those removed, and the digest of the others."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return remove_repeated(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -12,11 +12,15 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.pieces import TokenCounter, by_size, shared
-from tracewell.llm.workspace import Aside
+from tracewell.llm.workspace import Aside, read_documents
+
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 4_000_000
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:
@@ -27,7 +31,8 @@ def n_tokens(text: Column, tokenizer: str) -> Column:
         counter = shared(TokenCounter, tokenizer)
         for batch in batches:
             texts = (x.as_py() or "" for x in batch)
-            yield pa.array([n for group in by_size(texts) for n in counter(group)], pa.int64())
+            sizes = pc.binary_length(batch).fill_null(0).to_pylist()
+            yield pa.array([n for group in by_size(texts, BATCH_BYTES, sizes) for n in counter(group)], pa.int64())
 
     return count(text)
 
@@ -46,5 +51,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: st
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")

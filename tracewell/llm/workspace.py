@@ -73,6 +73,19 @@ class Workspace:
         files.delete(path, True)
 
 
+#: Bytes a core below which a table of texts is dealt out: it may be one row
+#: group, which a single task would read.
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table that is small for the cores is dealt to all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SPREAD_BYTES else docs
+
+
 def broadcast_if_small(table: DataFrame, width: str = "1", bytes_each: int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the saved ``table`` is measured as small.
 

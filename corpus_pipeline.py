@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage is written as Parquet and read again as the next one's documents, so
-a lost executor never costs an earlier stage.
+a lost executor never costs an earlier stage; a stage's table goes once the next
+one is written.
 """
 
 from __future__ import annotations
@@ -32,4 +33,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work.save(docs, f"stage-{k}")
+            work.drop(f"stage-{k - 1}")
     return docs

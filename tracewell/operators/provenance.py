@@ -34,10 +34,13 @@ def in_few(rows: DataFrame, keys: DataFrame, most: int = 1_000_000) -> DataFrame
 def window_index(sources: DataFrame, owners: int | None = OWNERS, only: DataFrame | None = None) -> DataFrame:
     """(window, source_id, seq) of distinct windows with the first ``owners`` of each.
 
-    ``sources`` has source_id, seq (order of arrival) and text.  Distinct rows
-    are aggregated before they move.  With ``only`` (a table of windows) just
+    ``sources`` has source_id, seq (order of arrival) and text; where it has
+    trusted, those rows are not indexed.  Distinct rows are aggregated before
+    they move.  With ``only`` (a table of windows) just
     those are indexed; owners are per window, so they are the same.
     """
+    if "trusted" in sources.columns:
+        sources = sources.filter(~F.col("trusted"))
     normal = sources.select("source_id", "seq", T.normalize(F.col("text")).alias("_normal"))
     rows = window_rows(normal.filter(F.length("_normal") >= T.WINDOW), F.col("_normal"), T.STEP)
     if only is not None:

@@ -48,6 +48,15 @@ def taint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.col("value_id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct("source_id").alias("n_sources"))
 
 
+def temporal_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of items that documents which came before them hold: an item comes
+    after as many documents as four times its id."""
+    values = _values(spark, sf_dir).withColumn("seq", F.col("value_id") * 4)
+    sources = _sources(spark, sf_dir).withColumn("trusted", F.col("source_id") % 7 == 0)
+    hits = P.contained(values, P.window_index(sources, None, P.probe_rows(values.drop("seq"))))
+    return hits.groupBy(F.col("value_id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct("source_id").alias("n_sources"))
+
+
 def shingle_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows by their number of owners after the cap."""
     index = P.window_index(_sources(spark, sf_dir))
@@ -144,6 +153,8 @@ top AS (SELECT * FROM t WHERE rank <= 10)"""
 
 SQL = {
     "taint_check": f"""WITH {_HITS.replace(" WHERE n <= 4", "")} SELECT value_id AS item_id, count(DISTINCT "at") AS n_windows, count(DISTINCT source_id) AS n_sources FROM h GROUP BY 1""",
+    "temporal_taint": f"""WITH {_HITS.replace(" WHERE n <= 4", "")} SELECT value_id AS item_id, count(DISTINCT "at") AS n_windows, count(DISTINCT source_id) AS n_sources
+FROM h WHERE source_id < value_id * 4 AND source_id % 7 <> 0 GROUP BY 1""",
     "shingle_index_stats": f"WITH {_INDEX} SELECT owners, count(*) AS n_windows FROM (SELECT k, count(*) AS owners FROM x GROUP BY 1) GROUP BY 1",
     "atom_index": """
 WITH a AS (SELECT doc_id, unnest(list_concat(

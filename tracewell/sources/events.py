@@ -42,9 +42,14 @@ def _kind(v: Column, path: str = "$") -> Column:
     return F.split_part(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("<"), F.lit(1))
 
 
+def read_texts(spark, path: str) -> DataFrame:
+    """(path, text) of whole text files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def parse_events(lines: DataFrame, dialect: str = "a") -> DataFrame:
     """``lines`` (column line) with kind, session_id, text, tool, args, response,
-    message_id, final and reason.
+    message_id, final, server (whose tool is called, if a server's) and reason.
 
     Dialect ``a`` names prompts, calls, results and displayed messages one way,
     ``b`` another; kinds are prompt, call, result, display, answer, ignored and
@@ -80,6 +85,7 @@ def parse_events(lines: DataFrame, dialect: str = "a") -> DataFrame:
         F.when(reason.isNull() & (meant == "result"), F.to_json(F.try_variant_get(v, "$.tool_response", "variant"))).alias("response"),
         F.when(reason.isNull() & (meant == "display"), _text(v, "$.message_id")).alias("message_id"),
         F.coalesce(F.try_variant_get(v, "$.final", "boolean"), F.lit(False)).alias("final"),
+        F.when(reason.isNull() & acts & F.lit(dialect == "b"), _text(v, "$.mcp_context.server_name")).alias("server"),
         reason.alias("reason"),
     )
 

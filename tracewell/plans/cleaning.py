@@ -108,6 +108,10 @@ UNION ALL SELECT DISTINCT doc_id, w, 'Latin+Cyrillic' FROM (SELECT doc_id, unnes
   len(regexp_extract_all(text, '(?:%[0-9A-Fa-f]{2}){6,}')) AS n_percent FROM documents) SELECT * FROM c WHERE n_base64 + n_hex + n_percent > 0""",
     "trust_label": """SELECT page_id, NOT regexp_matches(url, '(^|[/\\\\])(\\.|%2[eE]){2}([/\\\\]|$)') AND (url = 'https://example.com/docs' OR starts_with(url, 'https://example.com/docs/') OR starts_with(url, 'https://www.example.org/')) AS trusted,
   starts_with(url, 'https:/') AS root_trusted FROM pages""",
+    "for_human": """WITH c AS (SELECT doc_id, text, '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}]' AS ctl FROM documents),
+s AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_matches(c, '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}]') THEN '<U+' || format('{:04X}', unicode(c)) || '>' ELSE c END), '') AS shown,
+  trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}].*$', ''), '[\\x{2500}-\\x{257F}\\x{2022}\\x{B7}\\x{AB}\\x{BB}\\x22\\x5B\\x5D]', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM c)
+SELECT doc_id, shown, CASE WHEN length(flat) > 140 THEN substr(flat, 1, 140) || '...' ELSE flat END AS safe FROM s""",
     "host_bounds": f"SELECT page_id, {_HOST} AS host, {_HOST} IN ('site1.example.com', 'example.org') AS inside FROM pages",
     "subject_names": f"""WITH h AS (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages),
 s AS (SELECT page_id, array_to_string(p[-(CASE WHEN array_to_string(p[-2:], '.') IN ('co.uk', 'com.br', 'com.au', 'co.jp', 'com.tr', 'co.in', 'com.cn', 'com.mx') THEN 3 ELSE 2 END):], '.') AS host FROM h),
@@ -116,4 +120,4 @@ m AS (SELECT *, length(head) >= 3 AND head NOT IN ('www', 'blog', 'news', 'docs'
 SELECT page_id, host, concat_ws(',', host, CASE WHEN good THEN head END, CASE WHEN good AND plain <> head AND length(plain) >= 3 THEN plain END) AS names,
   host IN ('prnewswire.com', 'businesswire.com', 'globenewswire.com', 'newswire.com', 'accesswire.com', 'einpresswire.com', 'openpr.com', 'prweb.com') AS syndicated FROM m""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "sanitize_full", "report_text", "for_human")}
+QUERIES = {name: globals()[name] for name in (*SQL, "sanitize_full", "report_text")}

@@ -302,6 +302,13 @@ SELECT e.user_id AS session_id, max(k) AS turn, bool_or(k > 97) AS unredacted, a
     "gate_decisions": f"""WITH {_GATE_SQL} SELECT event_id, x.d AS decision, x.r AS reason, CASE WHEN x.d = 'allow' THEN NULL WHEN contains(x.r, 'store of the session is full') THEN 'saturation' WHEN contains(x.r, 'holds hidden text') THEN 'unredacted-mark'
   WHEN contains(x.r, 'since the last prompt') THEN 'exposure' WHEN starts_with(x.r, 'protected: ') THEN 'self-protection' WHEN contains(x.r, 'leaves the permitted') THEN 'certificate-bounds'
   WHEN starts_with(x.r, 'not permitted') OR contains(x.r, 'policy says nothing') THEN 'certificate' WHEN contains(x.r, 'no cut') OR contains(x.r, 'untrusted') THEN 'provenance' ELSE 'other' END AS mechanism FROM d""",
+    "rendered_decisions": f"""WITH {_GATE_SQL}, h AS (SELECT x.d AS d, x.r AS r, '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse",' AS head, '; arguments that were cut: note' AS cut FROM d),
+j AS (SELECT CASE d WHEN 'allow' THEN '{{}}' WHEN 'rewrite' THEN head || '"permissionDecision":"ask","permissionDecisionReason":"' || r || cut || '","updatedInput":{{"a":1}}}}}}' ELSE head || '"permissionDecision":"' || d || '","permissionDecisionReason":"' || r || '"}}}}' END AS a,
+  CASE d WHEN 'allow' THEN '{{}}' WHEN 'rewrite' THEN '{{"systemMessage":"untrusted text removed: ' || r || cut || '","hookSpecificOutput":{{"hookEventName":"BeforeTool","tool_input":{{"a":1}}}}}}' ELSE '{{"decision":"' || d || '","reason":"' || r || '"}}' END AS b FROM h)
+SELECT a, b, count(*) AS n FROM j GROUP BY 1, 2""",
+    "response_text": f"""WITH {_EVENTS_SQL}, r AS (SELECT CASE WHEN k % 2 = 0 THEN NULL ELSE 2 END AS pieces,
+  CASE WHEN k % 2 = 0 THEN '{{"type": "text", "content": [{{"text": "say ' || event_type || '"}}], "odd": "two words"}}' ELSE '{{"type": "text", "content": [{{"text": "SAY ' || upper(event_type) || '"}}], "title": "T"}}' END AS new FROM e)
+SELECT pieces, new, count(*) AS n FROM r GROUP BY 1, 2""",
     "journal": f"WITH {_GATE_SQL} SELECT x.d AS decision, 's' AS source, count(*) AS n FROM d WHERE x.d <> 'allow' GROUP BY 1",
     "quarantine_cut": """WITH c AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 5) || substr(text, 21, 40), '[ \\t\\f\\v]{2,}', ' ', 'g'), chr(32) || chr(10) || chr(9)) AS cut FROM documents)
 SELECT doc_id, cut, CASE WHEN doc_id % 5 = 0 THEN 'argument file-Path can only be used whole'
@@ -319,4 +326,4 @@ y AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'unparsable' WHEN k % 5 = 0 THEN 'prom
 SELECT dialect, kind, CASE WHEN k % 23 = 0 THEN 'default' ELSE 's' || (k % 3) END AS session_id, CASE WHEN kind IN ('call', 'result') THEN CASE WHEN k % 6 = 0 THEN '' ELSE 'T' END END AS tool,
   CASE WHEN kind IN ('call', 'result') THEN CASE WHEN k % 4 >= 2 THEN '{{"a":1}}' ELSE '{{}}' END END AS args, CASE kind WHEN 'prompt' THEN 'hi' WHEN 'display' THEN 'd' WHEN 'answer' THEN '' END AS text, count(*) AS n FROM y GROUP BY ALL""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "response_text", "rendered_decisions", "quarantine_whole")}
+QUERIES = {name: globals()[name] for name in (*SQL, "quarantine_whole")}

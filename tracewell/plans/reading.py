@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import observe as O
 from tracewell.operators import provenance as P
 from tracewell.plans.decisions import _EVENTS_SQL, _calls
-from tracewell.plans.provenance import _NORMAL, _sources, _table, _values
+from tracewell.plans.provenance import _NORMAL, _TOP, _sources, _table, _values
 from tracewell.sources import events as E
 
 
@@ -67,6 +67,7 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "attribution": f"WITH {_TOP} SELECT value_id, source_id, fragments, covered, false AS truncated FROM i",
     "source_labels": f"""WITH {_EVENTS_SQL}, l AS (SELECT event_id, CASE tool WHEN 'WebFetch' THEN 'web' WHEN 'Bash' THEN 'bash' WHEN 'Read' THEN 'file' ELSE 'tool' END AS kind, tool,
   CASE WHEN k % 5 = 0 THEN tool WHEN k % 2 = 1 THEN 'https://h/' || k ELSE '/d/' || k END AS label FROM e)
 SELECT event_id, kind, label, starts_with(label, 'https://h/') OR starts_with(label, '/d/') AS trusted, CASE WHEN tool = 'Read' THEN false ELSE kind = 'web' END AS rendered FROM l""",
@@ -80,4 +81,4 @@ x AS (SELECT source, doc_id, count(*) AS c FROM (SELECT *, row_number() OVER (PA
 p AS (SELECT n.source, n.doc_id, sum(coalesce(c, 0)) OVER (PARTITION BY n.source ORDER BY n.doc_id) AS past FROM n LEFT JOIN x ON n.source = x.source AND n.doc_id = x.doc_id)
 SELECT source AS session_id, doc_id AS seq, least(past, 2000)::BIGINT AS entries, past > 2000 AS saturated FROM p""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "full_taint", "attribution")}
+QUERIES = {name: globals()[name] for name in (*SQL, "full_taint")}

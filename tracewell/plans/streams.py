@@ -66,6 +66,9 @@ SQL = {
 SELECT session_id, seq, turn::BIGINT AS turn, last_value(label IGNORE NULLS) OVER (PARTITION BY session_id, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS exposure,
   last_value(label IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_source,
   coalesce(bool_or(bad) OVER (PARTITION BY session_id, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS unredacted FROM t""",
+    "stream_activity": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "stream_messages": "WITH g AS (SELECT conv_id, turn // 2 AS m, string_agg(text, '' ORDER BY turn) AS t, max(turn) % 2 AS done FROM conversations GROUP BY 1, 2) SELECT conv_id AS session_id, md5(t) AS digest FROM g WHERE done = 1",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "stream_activity")}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -510,9 +510,25 @@ FINDINGS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (
 _FINDING = pa.list_(pa.struct([("kind", pa.string()), ("detail", pa.string()), ("sample", pa.string())]))
 
 
-@F.arrow_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("findings", FINDINGS)]))
-def sanitize(texts: pa.Array) -> pa.Array:
-    """(clean, findings) of each text; null for null."""
+_CLEANED = T.StructType([T.StructField("clean", T.StringType()), T.StructField("findings", FINDINGS)])
+#: What a text must have for any rule to fire: markup, a character beyond
+#: printable ASCII, or a run that may be encoded.
+_SUSPECT = r"<|[^\t\n\r\x20-\x7E]|[A-Za-z0-9+/_-]{32}|(?:%[0-9A-Fa-f]{2}){6}"
+
+
+def sanitize(text: Column | str) -> Column:
+    """(clean, findings) of each text; null for null.
+
+    A text that no rule can concern never leaves the engine.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    suspect = text.rlike(_SUSPECT)
+    plain = F.struct(text.alias("clean"), F.array().cast(FINDINGS).alias("findings"))
+    return F.when(suspect, _sanitized(F.when(suspect, text))).when(text.isNotNull(), plain)
+
+
+@F.arrow_udf(_CLEANED)
+def _sanitized(texts: pa.Array) -> pa.Array:
     results = [None if t is None else sanitize_text(t) for t in texts.to_pylist()]
     rows = [None if r is None else {"clean": r[0], "findings": [dict(zip(("kind", "detail", "sample"), f, strict=True)) for f in r[1]]} for r in results]
     return pa.array(rows, pa.struct([("clean", pa.string()), ("findings", _FINDING)]))

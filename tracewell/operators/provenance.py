@@ -11,6 +11,8 @@ from tracewell.functions import text as T
 
 #: Owners kept for a window; windows that two sources must share to be kin; characters of an overlap.
 OWNERS, KIN_WINDOWS, OVERLAP = 4, 3, 32
+#: Characters of a value in which spans meet; rows of windows that are broadcast, some 24 MB.
+TILE, FEW = 256, 250_000
 
 
 def window_rows(docs: DataFrame, text: Column, step: int) -> DataFrame:
@@ -23,7 +25,7 @@ def window_rows(docs: DataFrame, text: Column, step: int) -> DataFrame:
     return cut.select(*keys, F.inline(T.windows(F.col("_block"), step)))
 
 
-def in_few(rows: DataFrame, keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+def in_few(rows: DataFrame, keys: DataFrame, most: int = FEW) -> DataFrame:
     """``rows`` whose window is in ``keys``: before any shuffle of ``rows`` where
     ``keys`` are counted to be ``most`` or fewer, by a shuffled join beyond."""
     keys = keys.select("window").distinct()
@@ -99,10 +101,17 @@ def top_influences(influences: DataFrame, most: int = 10) -> DataFrame:
 
 
 def overlaps(spans: DataFrame, least: int = OVERLAP) -> DataFrame:
-    """The first stretch of ``least`` characters that two sources share in a value."""
-    a, b = spans.alias("a"), spans.alias("b")
-    width = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
-    pairs = a.join(b, F.expr("a.value_id = b.value_id AND a.source_id < b.source_id")).filter(width >= least)
+    """The first stretch of ``least`` characters that two sources share in a value.
+
+    Spans meet in the tiles of a value that they cover, and a pair counts in the
+    tile where its stretch begins, so spans far from each other never meet.
+    """
+    tiles = F.sequence(F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE))
+    tiled = spans.select("value_id", "source_id", "start", "end", F.explode(tiles).alias("tile"))
+    a, b = tiled.alias("a"), tiled.alias("b")
+    first = F.greatest("a.start", "b.start")
+    here = (F.least("a.end", "b.end") - first >= least) & (F.floor(first / TILE) == F.col("a.tile"))
+    pairs = a.join(b, F.expr("a.value_id = b.value_id AND a.tile = b.tile AND a.source_id < b.source_id") & here)
     found = pairs.select("a.value_id", F.col("a.source_id").alias("left_id"), F.col("b.source_id").alias("right_id"), F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"))
     return found.groupBy("value_id", "left_id", "right_id").agg(F.min(F.struct("start", "end")).alias("s")).select("value_id", "left_id", "right_id", "s.start", "s.end")
 

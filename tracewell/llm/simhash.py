@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import golay
 from tracewell.llm.components import components
 from tracewell.llm.near_copies import bands_of, forest
-from tracewell.llm.workspace import Workspace, own_name, read_documents
+from tracewell.llm.workspace import Workspace, broadcast_if_small, own_name, read_documents
 
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -229,36 +229,53 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     work = Workspace(docs.sparkSession, "similar")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                prints, sets = [], []
+                nodes, prints, bands = [], [], []
                 for text in batch.column(2):
                     parts = list(shingle_hashes(text.as_py() or "", width))
+                    shingles = _set_of(parts)
+                    nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
                     prints.append(_print_of(parts))
-                    sets.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                bands = pa.array([bands_of(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(prints, pa.int64()), bands, pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "node", "print", "bands", "shingles"])
+                    bands.append(bands_of(shingles) if len(shingles) else [])
+                columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", "node", "print", "bands"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [_set_of(list(shingle_hashes(text.as_py() or "", width))).tobytes() for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    printed = work.save(source.mapInArrow(shingled, f"id {kind}, text_hash long, node long, print long, bands array<long>, shingles binary"), "printed")
-    prints = printed.select("print").distinct()
-    fuzzy = components(near_links(prints, work), Workspace(docs.sparkSession, "similar-prints")).select(F.col("node").alias("print"), "root")
-    of_print = printed.select("node", "print").distinct().join(fuzzy, "print", "left").select("node", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
-    keyed = printed.select("node", F.explode("bands").alias("key")).unionAll(of_print).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = work.save(keyed.join(shared, "key"), "met-sets")
-    sets = printed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    printed = work.save(source.mapInArrow(printed_of, f"id {kind}, text_hash long, node long, print long, bands array<long>"), "printed")
+    spoken = printed.filter(F.size("bands") > 0)
+    fuzzy = components(near_links(spoken.select("print").distinct(), work), Workspace(docs.sparkSession, "similar-prints")).select(F.col("node").alias("print"), "root")
+    of_print = spoken.select("node", "print").distinct().join(fuzzy, "print", "left").select("node", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
+    keyed = work.save(spoken.select("node", F.explode("bands").alias("key")).unionAll(of_print).distinct(), "keyed")
+    # of buckets with the same members one is enough
+    members = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
+    buckets = keyed.groupBy("key").agg(*members).filter("n > 1").groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    met = work.save(keyed.join(buckets, "key"), "met-sets")
+    # only texts that share a bucket have their sets made, once for each set
+    first = met.select("node").distinct().join(spoken.groupBy("node").agg(F.min("text_hash").alias("text_hash")), "node")
+    shared = source.select("text_hash", "text").join(broadcast_if_small(work.save(first, "first"), "2", 8), "text_hash")
+    sets = shared.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, shingles binary")
     dealt = met.join(sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
     roots = components(dealt.mapInArrow(_alike, "a long, b long"), work).withColumnRenamed("node", "_node")
     rooted = printed.select("id", "text_hash", "node").join(roots, F.col("node") == F.col("_node"), "left")
     return rooted.select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "node").alias("root"))
 
 
+def _set_of(parts: list[np.ndarray]) -> np.ndarray:
+    """The different shingle hashes of a text in order."""
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links within the keys of sorted rows (key, node, shingles)."""
     rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))

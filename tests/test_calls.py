@@ -81,6 +81,8 @@ def test_calls_are_decided_from_data(spark):
     assert got[3].reason.endswith("command can only be used whole") and "nested" in got[4].reason and "(page)" in got[5].reason
     assert got[9].reason == "protected: no path in path" and "spelled otherwise" in got[10].reason and "leaves the permitted folders" in got[11].reason
     assert K.decided(table.limit(0), windows, tokens, {}, []).collect() == []
+    told = M.refusals(spark.createDataFrame([(k, r.decision, r.reason) for k, r in got.items()], "call_id long, decision string, reason string")).collect()
+    assert {r.call_id for r in told} == {3, 4, 5, 7, 8, 9, 10, 11} and all(r.status == "error" and r.content for r in told)
 
 
 def test_state_and_journal(spark, tmp_path):

@@ -100,6 +100,17 @@ def directives(events: DataFrame) -> DataFrame:
     return events.withColumn("directive", F.first(known).over(order))
 
 
+def folded(events: DataFrame, most: int = USER_ATOMS) -> DataFrame:
+    """``events`` (session_id, seq, role, text, untrusted, label, uncleaned) with
+    a session's whole state as of each: turn, exposure, last_source, unredacted,
+    directive and user_atoms.
+
+    All windows share one partitioning, by session; only the lists of what users
+    named are joined.
+    """
+    return user_atoms_so_far(directives(unredacted(last_sources(exposures(turns(events))))), most)
+
+
 def drafts(deltas: DataFrame) -> DataFrame:
     """(session_id, message_id, text, complete): messages put together from
     deltas (seq, delta, final), at most :data:`DRAFT_CHARS`."""

@@ -62,6 +62,14 @@ def prompts(messages: DataFrame) -> DataFrame:
     return read.withColumn("submit", ~same)
 
 
+def refusals(decisions: DataFrame) -> DataFrame:
+    """The messages (call_id, role, status, content) that a framework gets in
+    place of the results of calls that are denied or would have to be asked for
+    (decision, reason)."""
+    stopped = decisions.filter("decision IN ('deny', 'ask')")
+    return stopped.select("call_id", F.lit("tool").alias("role"), F.lit("error").alias("status"), F.col("reason").alias("content"))
+
+
 #: What becomes of a result that has text no reader would see, by transport: a
 #: hook replaces the text in place, a second harness gets a refusal with the
 #: clean text, blocks of a protocol or a framework are built anew.

@@ -235,6 +235,35 @@ def test_stage_takes_near_copies_and_no_others(spark):
     assert sorted(r.doc_id for r in got) == [*range(40), *range(80, 120)]
 
 
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    sets, met = {}, []
+    for key in range(4):  # chains: each set is similar to the next, not to the least
+        base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+        for k in range(25):
+            sets[100 * key + k] = np.unique(base[8 * k : 8 * k + 100])
+        sets[100 * key + 50] = np.unique(rng.integers(0, 1 << 62, 100, dtype=np.uint64))
+        met += [(key, node, 26, 100 * key) for node in sorted(sets) if node // 100 == key]
+    met += [(9, 0, 2, 0), (9, 100, 2, 0), (8, 0, 2, 0), (8, 1, 2, 0)]
+    work = Workspace(spark, "test-blocks")
+    table = work.save(spark.createDataFrame(met, "key long, node long, n long, low long"), "met")
+    bodies = work.save(spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, shingles binary"), "sets")
+    links = [(r.a, r.b) for r in simhash._similar(table, bodies, work).collect()]
+    similar = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert all(similar(a, b) for a, b in links)
+    parent = {n: n for n in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    assert all((root(a) == root(b)) == (a // 100 == b // 100 and a % 100 < 50 and b % 100 < 50) for a in sets for b in sets if a != b)
+
+
 def test_stage_keeps_rows_whose_ids_are_null_or_repeated(spark):
     text = lambda k: " ".join(f"t{k}w{n}" for n in range(100))
     rows = [(None, text(0)), (None, text(1)), (1, text(2)), (5, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (7, text(5))]

@@ -30,6 +30,14 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bytes([k]) + band.tobytes()) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sorted sets are similar."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Links of similar sets that join what such links join at all."""
     sizes = np.array([len(s) for s in sets])

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import golay
 from tracewell.llm.components import components
-from tracewell.llm.near_copies import bands_of, forest
+from tracewell.llm.near_copies import bands_of, forest, similar
 from tracewell.llm.workspace import Workspace, broadcast_if_small, own_name, read_documents
 
 #: First bit and number of bits of each segment.
@@ -55,6 +55,8 @@ DISTANCE = 3
 LARGE = 2048
 #: Words of a shingle where similarity is verified, and shingles hashed at once.
 SIMILAR_WIDTH, PART = 5, 1 << 16
+#: Sets of a bucket that are compared with as many others in one task.
+BLOCK = 256
 LINK, DEALT_AGAIN = 0, 1
 
 
@@ -259,14 +261,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = work.save(spoken.select("node", F.explode("bands").alias("key")).unionAll(of_print).distinct(), "keyed")
     # of buckets with the same members one is enough
     members = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
-    buckets = keyed.groupBy("key").agg(*members).filter("n > 1").groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    buckets = keyed.groupBy("key").agg(*members).filter("n > 1").groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "low")
     met = work.save(keyed.join(buckets, "key"), "met-sets")
     # only texts that share a bucket have their sets made, once for each set
     first = met.select("node").distinct().join(spoken.groupBy("node").agg(F.min("text_hash").alias("text_hash")), "node")
     shared = source.select("text_hash", "text").join(broadcast_if_small(work.save(first, "first"), "2", 8), "text_hash")
-    sets = shared.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, shingles binary")
-    dealt = met.join(sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
-    roots = components(dealt.mapInArrow(_alike, "a long, b long"), work).withColumnRenamed("node", "_node")
+    sets = work.save(shared.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, shingles binary"), "sets")
+    roots = components(_similar(met, sets, work), work).withColumnRenamed("node", "_node")
     rooted = printed.select("id", "text_hash", "node").join(roots, F.col("node") == F.col("_node"), "left")
     return rooted.select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "node").alias("root"))
 
@@ -276,11 +277,43 @@ def _set_of(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+def _similar(met: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """Verified links (a, b) that join what similar sets of each bucket join:
+    ``met`` has key, node, n (the bucket's size) and low (its least node).
+
+    First every set is compared with that of its bucket's least node, row by row,
+    however many they are.  What is not similar to it (the far ones) then meets
+    the whole bucket, block by block.
+    """
+    least = met.filter("node = low").join(sets, "node").select("key", F.col("shingles").alias("least"))
+    others = met.filter("node <> low").join(sets, "node").join(least, "key").select("key", "node", "low", "n", "shingles", "least")
+    star = work.save(others.mapInArrow(_near_least, "key long, node long, low long, n long, near boolean"), "star")
+    # of two sets both comparisons are one
+    far = star.filter("NOT near AND n > 2").select("key", "node")
+    blocks = far.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("far_blocks"))
+    every = met.join(blocks, "key").withColumn("all_blocks", F.ceil(F.col("n") / BLOCK))
+    place = lambda k, blocks: F.pmod(F.xxhash64("node", F.lit(k)), F.col(blocks))
+    upto = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    one = every.join(far, ["key", "node"], "left_semi").select("key", place(1, "far_blocks").alias("x"), upto("all_blocks").alias("y"), "node")
+    two = every.select("key", upto("far_blocks").alias("x"), place(2, "all_blocks").alias("y"), "node")
+    tasks = one.unionAll(two).distinct().join(sets, "node").select("key", "x", "y", "node", "shingles")
+    dealt = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return star.filter("near").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(dealt.mapInArrow(_alike, "a long, b long"))
+
+
+def _near_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each set is similar to the least node's."""
+    for batch in batches:
+        pairs = zip(batch.column(4), batch.column(5), strict=True)
+        near = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in pairs]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.bool_())], ["key", "node", "low", "n", "near"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links within the keys of sorted rows (key, node, shingles)."""
-    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-    for _, bucket in groupby(rows, lambda row: row[0]):
-        nodes, sets = zip(*((node, np.frombuffer(body, np.uint64)) for _, node, body in bucket), strict=True)
+    """Verified links within the blocks of sorted rows (key, x, y, node, shingles)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
+    for _, block in groupby(rows, lambda row: row[:3]):
+        nodes, sets = zip(*((node, np.frombuffer(body, np.uint64)) for *_, node, body in block), strict=True)
         if len(nodes) > 1:
             a, b = forest(np.array(nodes, np.int64), list(sets))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

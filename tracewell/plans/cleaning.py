@@ -92,6 +92,7 @@ def for_human(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
+_LISTED = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))"
 SQL = {
     "page_hidden_findings": """SELECT page_id, detail, n::BIGINT AS n FROM (
@@ -114,10 +115,10 @@ s AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lamb
 SELECT doc_id, shown, CASE WHEN length(flat) > 140 THEN substr(flat, 1, 140) || '...' ELSE flat END AS safe FROM s""",
     "host_bounds": f"SELECT page_id, {_HOST} AS host, {_HOST} IN ('site1.example.com', 'example.org') AS inside FROM pages",
     "subject_names": f"""WITH h AS (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages),
-s AS (SELECT page_id, array_to_string(p[-(CASE WHEN array_to_string(p[-2:], '.') IN ('co.uk', 'com.br', 'com.au', 'co.jp', 'com.tr', 'co.in', 'com.cn', 'com.mx') THEN 3 ELSE 2 END):], '.') AS host FROM h),
+s AS (SELECT page_id, array_to_string(p[-(CASE WHEN array_to_string(p[-2:], '.') IN {_LISTED(R.SECOND_LEVEL)} THEN 3 ELSE 2 END):], '.') AS host FROM h),
 n AS (SELECT page_id, host, string_split(host, '.')[1] AS head FROM s),
-m AS (SELECT *, length(head) >= 3 AND head NOT IN ('www', 'blog', 'news', 'docs', 'help', 'support', 'shop', 'store', 'm', 'ru', 'en', 'mail', 'app', 'web', 'site', 'home', 'cloud', 'info', 'online', 'group', 'company') AS good, regexp_replace(head, '[^a-z0-9]', '', 'g') AS plain FROM n)
+m AS (SELECT *, length(head) >= 3 AND head NOT IN {_LISTED(R.GENERIC)} AS good, regexp_replace(head, '[^a-z0-9]', '', 'g') AS plain FROM n)
 SELECT page_id, host, concat_ws(',', host, CASE WHEN good THEN head END, CASE WHEN good AND plain <> head AND length(plain) >= 3 THEN plain END) AS names,
-  host IN ('prnewswire.com', 'businesswire.com', 'globenewswire.com', 'newswire.com', 'accesswire.com', 'einpresswire.com', 'openpr.com', 'prweb.com') AS syndicated FROM m""",
+  host IN {_LISTED(R.SYNDICATION)} AS syndicated FROM m""",
 }
 QUERIES = {name: globals()[name] for name in (*SQL, "sanitize_full", "report_text")}

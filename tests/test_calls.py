@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
 from tracewell.operators import calls as K
+from tracewell.operators import gateway as W
 from tracewell.operators import observe as O
 from tracewell.operators import policy as G
 from tracewell.operators import provenance as P
@@ -151,3 +152,30 @@ def test_message_sources(spark):
     assert [(r.idx, r.text, r.submit) for r in got] == [(0, "hi", True), (0, "hi", False), (2, "hi", True), (2, "more", True)]
     kinds = spark.createDataFrame([("hook", True, True), ("harness", True, True), ("framework", True, True), ("hook", False, True), ("hook", True, False), ("odd", True, True)], "t string, s boolean, r boolean")
     assert [r[0] for r in kinds.select(M.substitution(F.col("t"), F.col("s"), F.col("r"))).collect()] == ["substitute", "reject", "rebuild", "pass", "mark", "mark"]
+
+
+def test_gateway(spark):
+    _, windows, tokens = index(spark)
+
+    def request(id_, tool, args):
+        return json.dumps({"jsonrpc": "2.0", "id": id_, "method": "tools/call", "params": {"name": tool, "arguments": args}})
+
+    long = "Before it: " + PAGE[:100] + " and what I say after it, which is long enough by far to stay, " * 3
+    lines = [
+        ("s", 0, request(1, "Post", {"note": "mine"})), ("s", 1, request("a\"b", "Post", {"note": long})), ("s", 2, request(3, "nobody", {})),
+        ("s", 3, json.dumps({"jsonrpc": "2.0", "method": "notifications/x"})), ("s", 4, "{broken"), ("s", 5, json.dumps({"jsonrpc": "2.0", "id": 9, "method": "tools/list"})),
+    ]
+    client = spark.createDataFrame(lines, "session_id string, seq long, line string")
+    got = {r.seq: r for r in W.inbound(client, windows, tokens, {"Post": ("export",)}, ["export"]).collect()}
+    assert {k: r.receiver for k, r in got.items()} == {0: "server", 1: "server", 2: "client", 3: "server", 4: "client", 5: "server"}
+    assert all(got[k].line == lines[k][2] for k in (0, 3, 5))
+    changed, refused, broken = (json.loads(got[k].line) for k in (1, 2, 4))
+    assert changed["id"] == 'a"b' and "quarterly" not in changed["params"]["arguments"]["note"] and changed["params"]["name"] == "Post"
+    assert refused["id"] == 3 and refused["result"]["isError"] and broken["error"]["code"] == -32700 and broken["id"] is None
+    answers = [
+        ("s", 10, json.dumps({"jsonrpc": "2.0", "id": 9, "result": {"tools": [{"name": "t", "description": "go" + chr(0x200B) + "od"}]}})),
+        ("s", 11, json.dumps({"jsonrpc": "2.0", "id": 1, "result": {"content": [{"type": "text", "text": "done"}, {"type": "image"}]}})),
+        ("s", 12, json.dumps({"jsonrpc": "2.0", "id": 1, "result": {"content": [{"type": "text", "text": "again"}]}})),
+    ]
+    seen = W.outbound(client, spark.createDataFrame(answers, "session_id string, seq long, line string")).orderBy("seq", "ord").collect()
+    assert [(r.seq, r.kind, r.label, r.clean, r.substitute, r.unredacted) for r in seen] == [(10, "mcp-description", "t", "good", True, False), (11, "tool", "tools/call", "done", False, False), (11, "tool", "tools/call", None, False, True)]

@@ -135,6 +135,26 @@ def test_policy():
     assert "the exposure rule is off" in L.warnings(L.validate({"exposure": False}))
 
 
+def test_policy_of_a_home(spark, tmp_path):
+    assert L.load(str(tmp_path)) == L.Policy()
+    (tmp_path / "policy.json").write_text('{"profile": {"effects": ["read"], "resources": {"paths": ["/work"]}}}')
+    policy = L.load(str(tmp_path))
+    made = spark.range(1).select(L.certificate(policy, F.lit(2)).alias("c")).first().c
+    assert (made.effects, made.paths, made.hosts, made.issued_at_turn, made.expires_at_turn) == (["read"], ["/work"], [], 2, None)
+    (tmp_path / "policy.json").write_text('{"mode": "odd"}')
+    with pytest.raises(L.PolicyError):
+        L.load(str(tmp_path))
+
+
+def test_sweeps_have_a_budget_for_each_directory(spark):
+    rows = [(f"s{k}", f"2026-01-0{1 + k % 3} 00:00:00", "a" if k < 4 else "b") for k in range(6)]
+    seen = spark.createDataFrame(rows, "session_id string, last_ts string, directory string").withColumn("last_ts", F.col("last_ts").cast("timestamp"))
+    now = F.lit("2026-02-01 00:00:00").cast("timestamp")
+    got = S.expired(seen, now, 3600, keep="s0", budget=1).collect()
+    assert {(r.directory, r.session_id) for r in got} == {("a", "s3"), ("b", "s4")}
+    assert [r.session_id for r in S.expired(seen.drop("directory"), now, 3600, budget=2).collect()] == ["s0", "s3"]
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 

@@ -143,8 +143,12 @@ def merged_state(pieces: DataFrame) -> DataFrame:
 
 
 def expired(last_seen: DataFrame, now: Column, ttl_s: int, keep: str | None = None, budget: int = 5000) -> DataFrame:
-    """Sessions whose last event is ``ttl_s`` old or older, the oldest ``budget``."""
+    """Sessions whose last event is ``ttl_s`` old or older, the oldest ``budget``
+    (of each directory, where there is a column directory)."""
     old = last_seen.filter((F.unix_timestamp(now) - F.unix_timestamp("last_ts") >= ttl_s) & (F.lit(keep is None) | (F.col("session_id").cast("string") != F.lit(keep))))
+    if "directory" in old.columns:
+        rank = F.row_number().over(Window.partitionBy("directory").orderBy("last_ts", "session_id"))
+        return old.withColumn("_rank", rank).filter(F.col("_rank") <= budget).drop("_rank")
     return old.orderBy("last_ts", "session_id").limit(budget)
 
 

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from tracewell.operators.policy import EFFECTS
+from pyspark.sql import Column
+
+from tracewell.operators.policy import EFFECTS, issued, strings
 
 
 class PolicyError(ValueError):
@@ -100,6 +102,11 @@ def load(home: str) -> Policy:
     return Policy()
 
 
+def certificate(policy: Policy, turn: Column) -> Column:
+    """What a policy's profile permits, issued at a turn; no turn ends it."""
+    return issued(strings(policy.effects), turn, policy.paths, policy.hosts)
+
+
 def warnings(policy: Policy) -> list[str]:
     """What a diagnosis says of a policy that is valid but weak."""
     found = []

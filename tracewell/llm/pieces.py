@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces and their results that a worker remembers, in bytes with all overhead.
-CACHE_BYTES = 150_000_000
+CACHE_BYTES = 120_000_000
 #: Characters of text that are cut and encoded together.
 BATCH_CHARS = 4_000_000
 #: A longer text is cut at safe places before its pieces are listed.

@@ -156,6 +156,32 @@ def test_sweeps_have_a_budget_for_each_directory(spark):
     assert [r.session_id for r in S.expired(seen.drop("directory"), now, 3600, budget=2).collect()] == ["s0", "s3"]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_more_users_than_a_sweep_takes_expire(spark, tmp_path, kind):
+    made = F.timestamp_micros(F.when(F.col("id") % 3 == 0, F.col("id") * 100_001 - 10**9).otherwise(F.lit(10**15) - F.col("id") * 999_999))
+    events = spark.range(9000).select(F.when(F.col("id") != 8, F.col("id") - 5).alias("user_id"), F.when(F.col("id") != 50, made).cast(kind).alias("ts"))
+    twice = events.unionAll(events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 2 HOURS")))
+    twice.write.parquet(str(tmp_path / "events.parquet"))
+    assert decisions.ttl_sweep(spark, str(tmp_path)).count() > 5000
+    assert _against_sql(spark, tmp_path, "ttl_sweep", "events") == (Counter(), Counter())
+
+
+def test_a_sweep_knows_the_hour_that_comes_twice(spark, tmp_path, monkeypatch):
+    import time
+
+    ago = {1: 0, 2: 50, 3: 70}  # minutes before 1:30, the second time
+    rows = spark.createDataFrame(list(ago.items()), "user_id long, m long")
+    rows.select("user_id", F.timestamp_seconds(F.lit(1730615400) - F.col("m") * 60).alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    try:
+        with monkeypatch.context() as m:
+            m.setenv("TZ", "America/New_York")
+            time.tzset()
+            got = [tuple(r) for r in decisions.ttl_sweep(spark, str(tmp_path)).collect()]
+    finally:
+        time.tzset()
+    assert got == [(3, 1730615400 - 70 * 60)]
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 

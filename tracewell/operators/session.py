@@ -142,10 +142,18 @@ def merged_state(pieces: DataFrame) -> DataFrame:
     return listed.select("session_id", "turn", "unredacted", "exposure", both.alias("directive"), last.alias("user_atoms"))
 
 
-def expired(last_seen: DataFrame, now: Column, ttl_s: int, keep: str | None = None, budget: int = 5000) -> DataFrame:
+def whole_seconds(at: Column) -> Column:
+    """Seconds since 1970, rounded down before it too, where ``unix_timestamp``
+    rounds up."""
+    return F.unix_timestamp(at - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), at) % 1))
+
+
+def expired(last_seen: DataFrame, now: Column, ttl_s: int, keep: str | None = None, budget: int | None = 5000) -> DataFrame:
     """Sessions whose last event is ``ttl_s`` old or older, the oldest ``budget``
-    (of each directory, where there is a column directory)."""
-    old = last_seen.filter((F.unix_timestamp(now) - F.unix_timestamp("last_ts") >= ttl_s) & (F.lit(keep is None) | (F.col("session_id").cast("string") != F.lit(keep))))
+    (of each directory, where there is a column directory), or all if it is None."""
+    old = last_seen.filter((whole_seconds(now) - whole_seconds(F.col("last_ts")) >= ttl_s) & (F.lit(keep is None) | (F.col("session_id").cast("string") != F.lit(keep))))
+    if budget is None:
+        return old
     if "directory" in old.columns:
         rank = F.row_number().over(Window.partitionBy("directory").orderBy("last_ts", "session_id"))
         return old.withColumn("_rank", rank).filter(F.col("_rank") <= budget).drop("_rank")
